@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, decontamination, pii, sharding, url_filter
+from cotejo.llm import chat, decontamination, fingerprints, mixing, pii, sharding, url_filter
 from cotejo.llm._common import table
 
 SHARDS = 8
@@ -77,7 +77,37 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op7_wu_manber, op8_reply_trees)}
+#: Target weights of op9 and the pipeline: each source's rows to this power.
+MIX_POWER = 0.5
+
+
+def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    weights = mixing.target_weights(docs, "source", MIX_POWER)
+    return mixing.mix_sources(docs, ["doc_id"], "source", weights)
+
+
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = fingerprints.add_fingerprint(docs, "text", "anchors")
+    docs = fingerprints.with_next(docs, "doc_id", ["text", "anchors"], F.xxhash64("text"))
+    n = F.length("text")
+    cut_at = (n - F.floor(n / 4)).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), cut_at), F.substring("next_text", F.lit(1), n - cut_at))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors")
+    docs = fingerprints.add_fingerprint(docs, "edited", "edited_anchors")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("anchors")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        fingerprints.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
 
 _JUMP = """
   {name} AS (

@@ -93,8 +93,8 @@ def number_slots(df: DataFrame, shard_col: str, order_cols: list[str], *, slot_c
     offsets = counts.select(shard_col, "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     inside = W.partitionBy(shard_col, "__range").orderBy(*order)
     return (
-        ranged.withColumn("__n", F.row_number().over(inside))
+        ranged.withColumn("__place", F.row_number().over(inside))
         .join(offsets, [shard_col, "__range"])
-        .withColumn(slot_col, (F.col("__offset") + F.col("__n") - 1).cast("long"))
-        .drop("__tie", "__range", "__n", "__offset")
+        .withColumn(slot_col, (F.col("__offset") + F.col("__place") - 1).cast("long"))
+        .drop("__tie", "__range", "__place", "__offset")
     )

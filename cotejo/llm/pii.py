@@ -209,6 +209,10 @@ def span_list(spans: Column) -> Column:
     )
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redact(df: DataFrame, *, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
     """``df`` with each span of the text replaced by ``<KIND>``; overlapping spans by the first one's mark."""
 

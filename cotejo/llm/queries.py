@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, decontamination, fingerprints, mixing, pii, sharding, url_filter
+from cotejo.llm import chat, decontamination, fingerprints, language, mixing, pii, sharding, url_filter
 from cotejo.llm._common import table
 
 SHARDS = 8
@@ -39,12 +39,18 @@ def op2_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = pii.span_list(F.filter("pii", lambda s: s["base"]))
-    n = {f"n_{k}": F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS}
+    n = {f"n_{k}": pii.count_of(F.col("pii"), k) for k in pii.KINDS}
     return found.select(
         "doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(base, 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans")
     )
 
 
+def op6_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict_language(docs.select("doc_id", "text"), language.fit_centroids(docs))
+    return found.select("doc_id", (~language.in_training(F.col("doc_id"))).alias("held_out"), "language.*")
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -107,7 +113,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op6_centroids, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
 
 _JUMP = """
   {name} AS (

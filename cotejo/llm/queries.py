@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, decontamination, fingerprints, language, mixing, pii, sharding, url_filter
+from cotejo.llm import chat, decontamination, fingerprints, language, mixing, pii, sharding, substring_dedup, url_filter
 from cotejo.llm._common import table
 
 SHARDS = 8
@@ -45,6 +45,13 @@ def op3_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("dedup.n_words").alias("n_words"), F.col("dedup.n_removed").alias("n_removed"), F.sha2("dedup.kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.predict_language(docs.select("doc_id", "text"), language.fit_centroids(docs))
@@ -113,7 +120,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op6_centroids, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op5_rabin_karp, op6_centroids, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
 
 _JUMP = """
   {name} AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, decontamination, fingerprints, language, mixing, pii, sharding, substring_dedup, url_filter
+from cotejo.llm import chat, decontamination, fingerprints, language, mixing, near_duplicates, pii, sharding, substring_dedup, url_filter
 from cotejo.llm._common import table
 
 SHARDS = 8
@@ -45,6 +45,10 @@ def op3_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
@@ -120,7 +124,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op5_rabin_karp, op6_centroids, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op4_parity_join, op5_rabin_karp, op6_centroids, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
 
 _JUMP = """
   {name} AS (

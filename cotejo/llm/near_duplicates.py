@@ -251,7 +251,7 @@ def _near_pairs(percent: int):
         for i in range(x.size):
             fit = (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny)) & (rx[i] != ry)
             j = np.flatnonzero(fit)
-            apart = np.bitwise_count(sx[i] ^ sy[j]).sum(axis=1)
+            apart = np.bitwise_count((sx[i] ^ sy[j]).view("u8")).sum(axis=1)  # of signed ones it would count the magnitude
             j = j[(100 + percent) * apart <= (100 - percent) * (nx[i] + ny[j])]
             left.append(np.minimum(x[i], y[j]))
             right.append(np.maximum(x[i], y[j]))

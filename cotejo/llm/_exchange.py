@@ -2,7 +2,7 @@
 
 A mapper packs the entries of a group of documents by key range; the rows of a
 range meet in one task, whose share of all entries falls as partitions are
-added. Packed blocks take 10 to 16 bytes an entry, where a row would take 30.
+added. Packed blocks take 9 to 14 bytes an entry, where a row would take 30.
 """
 
 from __future__ import annotations
@@ -23,30 +23,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((mixed(keys) >> np.uint64(33)) % np.uint64(ranges)).astype("i4")
+def pack(keys: np.ndarray, owners: np.ndarray, ranges: int, *, by_owner: bool = False) -> Iterator[tuple[int, bytes]]:
+    """(range, block) for entries of uint64 keys and int64 owners; ranges cut the keys evenly, or the mixed owners.
 
-
-def pack(keys: np.ndarray, owners: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, block) for entries of uint64 keys and int64 owners."""
-    part = range_of(keys, ranges)
-    order = np.argsort(part, kind="stable")
-    part, keys, owners = part[order], keys[order], owners[order]
-    ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1 if part.size else []
-    a = 0
-    for b in ends:
+    A block holds its keys in order, as differences in as few bytes as the
+    largest takes, and the owners as places in a table of their ids.
+    """
+    part = ((mixed(owners.view("u8")) if by_owner else keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    order = np.lexsort((keys, part)) if by_owner else np.argsort(keys)
+    keys, owners, part = keys[order], owners[order], part[order]
+    at = starts(part)
+    for a, b in zip(at, np.append(at, keys.size)[1:], strict=True):
         names, index = np.unique(owners[a:b], return_inverse=True)
         index = index.astype("u2" if names.size <= 1 << 16 else "u4")
-        head = np.array([b - a, names.size], "<u4").tobytes()
-        yield int(part[a]), head + keys[a:b].tobytes() + names.tobytes() + index.tobytes()
-        a = int(b)
+        gaps = np.diff(keys[a:b])
+        width = max(1, -(-int(gaps.max()).bit_length() // 8)) if gaps.size else 1
+        near = int(names[-1]) - int(names[0]) < 1 << 32
+        head = np.array([b - a, names.size, width, near], "<u4").tobytes() + keys[a : a + 1].tobytes() + names[:1].tobytes()
+        table = (names - names[0]).astype("u4") if near else names
+        yield int(part[a]), head + gaps.view("u1").reshape(-1, 8)[:, :width].tobytes() + table.tobytes() + index.tobytes()
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, names = np.frombuffer(block, "<u4", 2)
-    keys = np.frombuffer(block, "u8", n, 8)
-    own = np.frombuffer(block, "i8", names, 8 + 8 * int(n))
-    at = 8 + 8 * int(n) + 8 * int(names)
+    n, names, width, near = (int(x) for x in np.frombuffer(block, "<u4", 4))
+    first, base = np.frombuffer(block, "u8", 1, 16), np.frombuffer(block, "i8", 1, 24)
+    gaps = np.zeros((n - 1, 8), "u1")
+    gaps[:, :width] = np.frombuffer(block, "u1", (n - 1) * width, 32).reshape(n - 1, width)
+    keys = np.cumsum(np.r_[first, gaps.view("u8").ravel()], dtype="u8")
+    at = 32 + (n - 1) * width
+    own = np.frombuffer(block, "u4" if near else "i8", names, at)
+    own = own.astype("i8") + base if near else own
+    at += names * (4 if near else 8)
     return keys, own[np.frombuffer(block, "u2" if names <= 1 << 16 else "u4", n, at)]
 
 

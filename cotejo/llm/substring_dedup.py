@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm._common import partitions
-from cotejo.llm._exchange import MIX, pack, starts, unpack
+from cotejo.llm._exchange import MIX, mixed, pack, starts, unpack
 
 WINDOW = 13
 #: Words of the documents that one mapper settles together.
@@ -44,19 +45,17 @@ def window_hashes(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
     for j in range(1, window):
         h *= MIX
         h += words[j : j + n]
-    return h
+    return mixed(h)
 
 
-def _blocks_by_owner(owners: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(owners, kind="stable")
-    owners, keys = owners[order], keys[order]
-    at = starts(owners)
-    for a, b in zip(at, np.append(at, owners.size)[1:], strict=True):
-        yield int(owners[a]), np.unique(keys[a:b]).tobytes()
+def _by_document(docs: np.ndarray, keys: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
+    """Entries packed by ranges of document ids, so that a range has whole documents."""
+    return list(pack(keys, docs, ranges, by_owner=True))
 
 
-_SENT = pa.schema([("p", pa.int32()), ("doc", pa.int64()), ("block", pa.binary())])
-_ANSWER = pa.schema([("doc", pa.int64()), ("block", pa.binary())])
+_SENT = pa.schema([("p", pa.int32()), ("settled", pa.bool_()), ("block", pa.binary())])
+_ANSWER = pa.schema([("p", pa.int32()), ("block", pa.binary())])
+_FOUND = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -64,7 +63,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _settle(docs: list[tuple[int, np.ndarray]], ranges: int) -> pa.RecordBatch | None:
-    """One group's entries by hash range, and what repeats inside the group by document."""
+    """One group's entries by hash range, and what repeats inside the group by range of documents."""
     docs = [d for d in docs if d[1].size]
     if not docs:
         return None
@@ -79,8 +78,8 @@ def _settle(docs: list[tuple[int, np.ndarray]], ranges: int) -> pa.RecordBatch |
     least = np.repeat(ids[first], np.diff(np.append(at, keys.size)))
     own = ids[of]
     again = own > least
-    rows: list[tuple] = [(p, None, b) for p, b in pack(keys[at], ids[first], ranges)]
-    rows += [(i % ranges, doc, b) for i, (doc, b) in enumerate(_blocks_by_owner(own[again], keys[again]))]
+    rows = [(p, False, b) for p, b in pack(keys[at], ids[first], ranges)]
+    rows += [(p, True, b) for p, b in _by_document(own[again], keys[again], ranges)]
     return _batch(rows, _SENT)
 
 
@@ -103,26 +102,44 @@ def _sender(window: int, ranges: int, group_words: int):
     return send
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes settled rows on; of the range's entries, those with a smaller document elsewhere."""
-    entries = []
-    for batch in batches:
-        settled = batch.filter(batch.column(1).is_valid())
-        if settled.num_rows:
-            yield pa.RecordBatch.from_arrays([settled.column(1), settled.column(2)], schema=_ANSWER)
-        entries += [unpack(b) for b in batch.filter(batch.column(1).is_null()).column(2).to_pylist()]
+def _answerer(ranges: int):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passes settled blocks on; of the range's entries, those with a smaller document elsewhere."""
+        entries = []
+        for batch in batches:
+            settled = batch.filter(batch.column(1))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([settled.column(0), settled.column(2)], schema=_ANSWER)
+            entries += [unpack(b) for b in batch.filter(pa.compute.invert(batch.column(1))).column(2).to_pylist()]
+        if not entries:
+            return
+        keys, owners = (np.concatenate(x) for x in zip(*entries, strict=True))
+        del entries
+        order = np.argsort(keys)
+        keys, owners = keys[order], owners[order]
+        at = starts(keys)
+        least = np.repeat(np.minimum.reduceat(owners, at), np.diff(np.append(at, keys.size)))
+        again = owners > least
+        if again.any():
+            yield _batch(_by_document(owners[again], keys[again], ranges), _ANSWER)
+
+    return answer
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of documents: a row for each, with all its repeated windows' hashes."""
+    entries = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
     if not entries:
         return
-    keys, owners = (np.concatenate(x) for x in zip(*entries, strict=True))
+    keys, docs = (np.concatenate(x) for x in zip(*entries, strict=True))
     del entries
-    order = np.argsort(keys)
-    keys, owners = keys[order], owners[order]
-    at = starts(keys)
-    least = np.repeat(np.minimum.reduceat(owners, at), np.diff(np.append(at, keys.size)))
-    again = owners > least
-    rows = list(_blocks_by_owner(owners[again], keys[again]))
-    for i in range(0, len(rows), 5000):
-        yield _batch(rows[i : i + 5000], _ANSWER)
+    order = np.argsort(docs)
+    docs, keys = docs[order], keys[order]
+    at = starts(docs)
+    end = np.append(at, docs.size)[1:]
+    for i in range(0, at.size, 2000):
+        rows = [(int(docs[a]), np.unique(keys[a:b]).tobytes()) for a, b in zip(at[i : i + 2000], end[i : i + 2000], strict=True)]
+        yield _batch(rows, _FOUND)
 
 
 def _cutter(window: int):
@@ -130,14 +147,14 @@ def _cutter(window: int):
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(span)), ("kept", pa.string())])
 
     def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, blocks in batches:
+        for texts, hashes in batches:
             rows = []
-            for text, found in zip(texts.cast(pa.binary()).to_pylist(), blocks.to_pylist(), strict=True):
+            for text, found in zip(texts.cast(pa.binary()).to_pylist(), hashes.to_pylist(), strict=True):
                 words = text.split() if text else []
                 spans: list[dict] = []
                 if found and len(words) >= window:
                     own = window_hashes(word_hashes(text), window)
-                    hit = np.isin(own, np.frombuffer(b"".join(found), "u8"))
+                    hit = np.isin(own, np.frombuffer(found, "u8"))
                     edge = np.zeros(len(words) + 1, "i8")
                     edge[:-window] += hit
                     edge[window:] -= hit
@@ -173,16 +190,16 @@ def remove_repeats(
     row loses nothing; rows with one id never remove each other's words. Other
     columns are ignored, an empty table gives no rows.
 
-    The hashes cross the network once (about 10 bytes a window and group), the
-    texts once, for the join with the answers. Equal 64-bit hashes count as
+    Each group's hashes cross the network once (about 9 bytes a window), those
+    of repeated windows twice more, and the texts once, to meet them. Equal 64-bit hashes count as
     equal windows.
     """
     spark = df.sparkSession
     ranges = partitions(spark)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    sent = rows.select("doc", "text").mapInArrow(_sender(window, ranges, group_words), "p int, doc bigint, block binary")
-    answers = sent.repartitionById(ranges, "p").mapInArrow(_answer, "doc bigint, block binary")
-    answers = answers.groupBy("doc").agg(F.collect_list("block").alias("blocks"))
+    sent = rows.select("doc", "text").mapInArrow(_sender(window, ranges, group_words), "p int, settled boolean, block binary")
+    answers = sent.repartitionById(ranges, "p").mapInArrow(_answerer(ranges), "p int, block binary")
+    found = answers.repartitionById(ranges, "p").mapInArrow(_gather, "doc bigint, hashes binary")
     cut_out = F.arrow_udf(_cutter(window), RESULT)
-    met = rows.join(answers, "doc", "left")
-    return met.select(F.col("id").alias(id_col), cut_out("text", "blocks").alias(out_col))
+    met = rows.join(found, "doc", "left")
+    return met.select(F.col("id").alias(id_col), cut_out("text", "hashes").alias(out_col))

@@ -5,9 +5,11 @@ pairs of one size band, whose symmetric difference is at most D, the shingles
 are dealt into m > D chunks and XOR-hashed in each: a chunk's parity differs
 only if the chunk holds a differing shingle, so the number of differing chunks
 is a lower bound of the difference, and by the pigeonhole principle a linked
-pair shares at least m - D chunk parities. Pairs that share one go through a
-1024-bit parity sketch, whose Hamming distance bounds the difference too, and
-then through an exact comparison of their sets.
+pair shares at least s = m - D chunk parities. So each set may leave out its
+s - 1 most common ones, which are those of passages that many texts share: of
+what a linked pair shares, the rarest stays. Pairs that still share one go
+through a 1024-bit parity sketch, whose Hamming distance bounds the difference
+too, and then through an exact comparison of their sets.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cotejo.llm._common import cut, partitions, stored
@@ -29,15 +33,18 @@ LINK = 80
 SKETCH_BITS = 1024
 #: Shingles of the documents that one mapper sends together.
 GROUP_SHINGLES = 750_000
-#: Members of a group in one row, and members that one task compares with as many others.
-ROW_MEMBERS, BLOCK_MEMBERS = 4096, 1024
+#: Members of a group in one row, which one task compares with as many others.
+ROW_MEMBERS = 1024
 #: Ids of candidate texts that are broadcast to the scan of the texts; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Times a document whose chunks are too often empty is dealt anew.
 DEALS = 6
+#: The low bits of a key name its band and deal.
+CODE_BITS = 10
 
-_SET = "struct<n:bigint,set_id:bigint,sketch:array<bigint>>"
-_SET_ARROW = pa.struct([("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+_SPARE = pa.list_(pa.struct([("code", pa.int32()), ("spare", pa.int32())]))
+_SET = "struct<n:bigint,set_id:bigint,sketch:array<bigint>,spare:array<struct<code:int,spare:int>>>"
+_SET_ARROW = pa.struct([("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.list_(pa.int64())), ("spare", _SPARE)])
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -96,6 +103,33 @@ class Bands:
             out.append(j)
         return [j for j in out if self.d[j] > 0]
 
+    def spare(self, s: np.ndarray) -> list[dict]:
+        """Keys of the first deal that a set may leave out in each of its bands.
+
+        A linked pair shares at least m - D chunks less those empty in both, so
+        it shares one more than either may leave out.
+        """
+        out = []
+        for j in self.of(s.size):
+            used = np.unique(_chunks(s, 0, np.uint64(self.m[j]))).size
+            q = self.m[j] - self.d[j] - (self.m[j] - used) - 1
+            if q > 0:
+                out.append({"code": j * DEALS, "spare": q})
+        return out
+
+
+def _turn(deal: int) -> np.uint64:
+    return np.uint64((2 * deal + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+
+
+def _chunks(s: np.ndarray, deal: int, m: np.ndarray) -> np.ndarray:
+    return ((s * _turn(deal)) >> np.uint64(33)) % m
+
+
+def _coded(keys: np.ndarray, code: np.ndarray) -> np.ndarray:
+    low = np.uint64((1 << CODE_BITS) - 1)
+    return (keys & ~low) | code.astype("u8")
+
 
 def chunk_keys(sets: list[np.ndarray], owners: list[int], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(keys, owners): the chunk parities of each set in each of its bands.
@@ -113,18 +147,18 @@ def chunk_keys(sets: list[np.ndarray], owners: list[int], bands: Bands) -> tuple
         least = np.array([bands.m[j] - bands.d[j] for _, j in take])
         size = np.array([sets[i].size for i, _ in take])
         all_s = np.concatenate([sets[i] for i, _ in take])
-        turn = np.uint64((2 * deal + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
-        chunk = ((all_s * turn) >> np.uint64(33)) % np.repeat(m, size).astype("u8")
+        chunk = _chunks(all_s, deal, np.repeat(m, size).astype("u8"))
         base = np.cumsum(m) - m
         slot = chunk.astype("i8") + np.repeat(base, size)
         order = np.argsort(slot)
         slot = slot[order]
         at = starts(slot)
-        parity = np.bitwise_xor.reduceat(mixed(all_s[order] ^ turn), at)
+        parity = np.bitwise_xor.reduceat(mixed(all_s[order] ^ _turn(deal)), at)
         slot = slot[at]
         of = np.searchsorted(base, slot, "right") - 1
-        place = np.array([j * DEALS + deal for _, j in take], "u8")[of] * MIX2 + (slot - base[of]).astype("u8") * MIX
-        keys.append(mixed(parity + place))
+        code = np.array([j * DEALS + deal for _, j in take], "u8")
+        place = code[of] * MIX2 + (slot - base[of]).astype("u8") * MIX
+        keys.append(_coded(mixed(parity + place), code[of]))
         who = np.array([owners[i] for i, _ in take], "i8")
         own.append(who[of])
         gaps = m - np.bincount(of, minlength=len(take))
@@ -133,23 +167,31 @@ def chunk_keys(sets: list[np.ndarray], owners: list[int], bands: Bands) -> tuple
             full = set(slot.tolist())
             for t in short:
                 holes = [c for c in range(m[t]) if int(base[t]) + c not in full]
-                keys.append(mixed(np.array(holes, "u8") * MIX + np.uint64(take[t][1] + 1) * MIX2 + np.uint64(1)))
+                gap = mixed(np.array(holes, "u8") * MIX + (code[t] + np.uint64(1)) * MIX2 + np.uint64(1))
+                keys.append(_coded(gap, np.full(len(holes), code[t])))
                 own.append(np.full(len(holes), who[t], "i8"))
         take = [take[t] for t in short]
     return np.concatenate(keys), np.concatenate(own)
 
 
 _SENT = pa.schema([("p", pa.int32()), ("block", pa.binary())])
-_GROUP = pa.schema([("gid", pa.int64()), ("part", pa.int32()), ("center", pa.int64()), ("members", pa.list_(pa.int64()))])
+_GROUP = pa.schema(
+    [("gid", pa.int64()), ("part", pa.int32()), ("code", pa.int32()), ("size", pa.int64()), ("keys", pa.int64()), ("members", pa.list_(pa.int64()))]
+)
+_GROUP_SQL = "gid bigint, part int, code int, size bigint, keys bigint, members array<bigint>"
 
 
-def _sets(k: int):
+def _sets(k: int, percent: int):
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bands = Bands(percent)
         for batch in batches:
             rows = []
             for text in batch.cast(pa.binary()).to_pylist():
                 s = shingles(text, k)
-                rows.append({"n": s.size, "set_id": set_id(s) if s.size else None, "sketch": sketch(s).tolist() if s.size else None})
+                row = {"n": s.size, "set_id": None, "sketch": None, "spare": None}
+                if s.size:
+                    row |= {"set_id": set_id(s), "sketch": sketch(s).tolist(), "spare": bands.spare(s)}
+                rows.append(row)
             yield pa.array(rows, _SET_ARROW)
 
     return make
@@ -201,14 +243,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not at.size:
         return
     end = np.append(at, keys.size)[1:]
-    gid = np.add.reduceat(mixed(owners.view("u8")), at).view("i8")
+    code = keys[at] & np.uint64((1 << CODE_BITS) - 1)
+    gid = (np.add.reduceat(mixed(owners.view("u8")), at) + mixed(code)).view("i8")
     keep = np.flatnonzero(end - at > 1)
-    keep = keep[np.unique(gid[keep], return_index=True)[1]]
+    _, first, count = np.unique(gid[keep], return_index=True, return_counts=True)
     rows: list[tuple] = []
-    for g in keep:
+    for g, n in zip(keep[first], count, strict=True):
         own = owners[at[g] : end[g]]
         for part in range(0, own.size, ROW_MEMBERS):
-            rows.append((int(gid[g]), part // ROW_MEMBERS, int(own[0]), own[part : part + ROW_MEMBERS]))
+            rows.append((int(gid[g]), part // ROW_MEMBERS, int(code[g]), own.size, int(n), own[part : part + ROW_MEMBERS]))
         if len(rows) >= 5000:
             yield _group_rows(rows)
             rows = []
@@ -217,9 +260,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _group_rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = [pa.array(list(c), f.type) for c, f in zip(list(zip(*rows, strict=True))[:3], list(_GROUP)[:3], strict=True)]
-    ends = np.cumsum([0, *(r[3].size for r in rows)]).astype("i4")
-    members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[3] for r in rows])))
+    cols = [pa.array(list(c), f.type) for c, f in zip(list(zip(*rows, strict=True))[:5], list(_GROUP)[:5], strict=True)]
+    ends = np.cumsum([0, *(r[5].size for r in rows)]).astype("i4")
+    members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[5] for r in rows])))
     return pa.RecordBatch.from_arrays([*cols, members], schema=_GROUP)
 
 
@@ -238,7 +281,7 @@ def _compare(k: int, percent: int):
 
 
 def _near_pairs(percent: int):
-    """Pairs of two blocks of a group, in different classes, that size and sketch leave possible."""
+    """Pairs of two blocks of a group, or of one, in different classes, that size and sketch leave possible."""
 
     def near(table: pa.Table) -> pa.Table:
         def side(name: str):
@@ -246,10 +289,14 @@ def _near_pairs(percent: int):
             sk = np.stack([np.array(x, "i8") for x in own["sketch"].to_pylist()]) if own.num_rows else np.zeros((0, 16), "i8")
             return own["x"].to_numpy(), own["n"].to_numpy(), own["root"].to_numpy(), sk
 
-        (x, nx, rx, sx), (y, ny, ry, sy) = side("low"), side("high")
+        x, nx, rx, sx = side("low")
+        inside = not pa.compute.any(pa.compute.equal(table["side"], "high")).as_py()
+        y, ny, ry, sy = (x, nx, rx, sx) if inside else side("high")
         left, right = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
         for i in range(x.size):
             fit = (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny)) & (rx[i] != ry)
+            if inside:
+                fit[: i + 1] = False
             j = np.flatnonzero(fit)
             apart = np.bitwise_count((sx[i] ^ sy[j]).view("u8")).sum(axis=1)  # of signed ones it would count the magnitude
             j = j[(100 + percent) * apart <= (100 - percent) * (nx[i] + ny[j])]
@@ -319,19 +366,28 @@ def near_duplicate_classes(
     spark = df.sparkSession
     ranges = partitions(spark)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    made = F.arrow_udf(_sets(shingle), _SET)
+    made = F.arrow_udf(_sets(shingle, percent), _SET)
     sets = cut(rows.select("id", F.xxhash64("text").alias("crc"), made("text").alias("s")).select("id", "crc", "s.*"))
     classes = sets.where("n > 0").groupBy("set_id").agg(
-        F.min("id").alias("least"), F.min(F.struct("id", "crc")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("id").alias("least"), F.min(F.struct("id", "crc")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("spare").alias("spare")
     )
     classes = cut(classes)
 
     sent = rows.select("text").mapInArrow(_sender(shingle, percent, ranges), "p int, block binary")
-    met = sent.repartitionById(ranges, "p").mapInArrow(_meet, "gid bigint, part int, center bigint, members array<bigint>")
-    groups = cut(met.groupBy("gid", "part").agg(F.first("center").alias("center"), F.first("members").alias("members")))
+    met = sent.repartitionById(ranges, "p").mapInArrow(_meet, _GROUP_SQL)
+    groups = met.groupBy("gid", "part").agg(
+        F.first("code").alias("code"), F.first("size").alias("size"), F.sum("keys").alias("keys"), F.first("members").alias("members")
+    )
+    # each set leaves out its most common keys, as many as its band spares, in one order for all
+    members = groups.select("gid", "part", "code", "size", "keys", F.explode("members").alias("x"))
+    spare = classes.select(F.col("set_id").alias("x"), F.inline("spare"))
+    order = W.partitionBy("x", "code").orderBy(F.desc("size"), "gid").rowsBetween(W.unboundedPreceding, 0)
+    members = members.join(spare, ["x", "code"], "left").withColumn("so_far", F.sum("keys").over(order))
+    members = cut(members.where(F.col("so_far") > F.coalesce("spare", F.lit(0))).select("gid", "part", "x"))
 
     # one candidate pair for each member of a group, with its smallest
-    pairs = groups.select(F.col("center").alias("c"), F.explode("members").alias("x")).where("c <> x").distinct()
+    centers = members.groupBy("gid").agg(F.min("x").alias("c"))
+    pairs = members.select("gid", "x").join(centers, "gid").where("c <> x").select("c", "x").distinct()
     facts = classes.select("set_id", "n", "sketch")
     pairs = pairs.join(facts.toDF("c", "nc", "sc"), "c").join(facts.toDF("x", "nx", "sx"), "x")
     apart = F.aggregate(F.zip_with("sc", "sx", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
@@ -369,14 +425,19 @@ def near_duplicate_classes(
             roots = connected(links)
 
     # groups whose members are not all in one class: compared block by block
-    members = groups.where((F.size("members") > 2) | (F.col("part") > 0)).select("gid", F.posexplode("members").alias("pos", "x"), "part")
-    members = members.withColumn("block", F.floor((F.col("part") * ROW_MEMBERS + F.col("pos")) / BLOCK_MEMBERS).cast("int"))
-    members = cut(_with_roots(members.select("gid", "block", "x"), roots, "x", "root"))
-    open_groups = members.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("block").alias("blocks")).where("r0 <> r1")
-    left = members.join(open_groups.select("gid", "blocks"), "gid").join(facts.toDF("x", "n", "sketch"), "x")
-    low = left.select("*", F.explode(F.sequence("block", "blocks")).alias("other")).select("gid", F.col("block").alias("i"), F.col("other").alias("j"), F.lit("low").alias("side"), "x", "n", "root", "sketch")
-    high = left.select("*", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("other")).select("gid", F.col("other").alias("i"), F.col("block").alias("j"), F.lit("high").alias("side"), "x", "n", "root", "sketch")
-    near = low.unionByName(high).groupBy("gid", "i", "j").applyInArrow(_near_pairs(percent), "c bigint, x bigint").distinct()
+    members = _with_roots(members, roots, "x", "root")
+    open_groups = members.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("part").alias("last"), F.count("*").alias("size"))
+    open_groups = open_groups.where("r0 <> r1 and size > 2")
+    left = cut(members.join(open_groups.select("gid", "last"), "gid").join(facts.toDF("x", "n", "sketch"), "x"))
+
+    def sided(at: str, i, j) -> DataFrame:
+        return left.where("last > 0").select("gid", i.alias("i"), j.alias("j"), F.lit(at).alias("side"), "x", "n", "root", "sketch")
+
+    alone = left.select("gid", F.col("part").alias("i"), F.col("part").alias("j"), F.lit("low").alias("side"), "x", "n", "root", "sketch")
+    later = F.when(F.col("part") < F.col("last"), F.sequence(F.col("part") + 1, F.col("last")))
+    earlier = F.when(F.col("part") > 0, F.sequence(F.lit(0), F.col("part") - 1))
+    blocks = alone.unionByName(sided("low", F.col("part"), F.explode(later))).unionByName(sided("high", F.explode(earlier), F.col("part")))
+    near = blocks.groupBy("gid", "i", "j").applyInArrow(_near_pairs(percent), "c bigint, x bigint").distinct()
     near = cut(near.join(pairs.select("c", "x"), ["c", "x"], "left_anti"))
     if near.take(1):
         texts = texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())

@@ -126,28 +126,90 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_jump_hash, op2_digest_array, op3_offset_pii, op4_parity_join, op5_rabin_karp, op6_centroids, op7_wu_manber, op8_reply_trees, op9_pfair, op10_syncmers)}
 
-_JUMP = """
-  {name} AS (
-    SELECT doc_id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT
-                         ELSE coalesce(doc_id, 0)::HUGEINT END) AS key, -1::BIGINT AS b, 0::BIGINT AS j
-    FROM (SELECT DISTINCT doc_id FROM documents)
-    UNION ALL
-    SELECT doc_id, k, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1)))::BIGINT
-    FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM {name} WHERE j < {n})
-  )"""
+# -- SQL ----------------------------------------------------------------------------------
+
+
+def _jump_sql(name: str, shards: int) -> str:
+    """Recursive steps of the generator in 128-bit integers, for every doc_id."""
+    return f"""
+{name}(doc_id, key, b, j) AS (
+  SELECT doc_id, CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END, -1::BIGINT, 0::BIGINT
+  FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, k, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT AS k FROM {name} WHERE j < {shards})
+)"""
+
+
+# CRC-32 bit by bit over the hex digits of the UTF-8 bytes, with a table of the 256 remainders.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n))"
+
+_SPACE_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD_CHARS = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ESCAPES = r"len(regexp_extract_all({x}, '\\|<\||</?s>|<</?SYS>>|\[/?INST\]'))"
+
+_RULES = ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)
+
 ORACLE_SQL: dict[str, str] = {
-    "op2_digest_array": r"""
+    "op1_jump_hash": f"""
+WITH RECURSIVE {_jump_sql("s8", SHARDS)},
+{_jump_sql("s9", SHARDS + 1)},
+a AS (SELECT doc_id, max(b) FILTER (j >= {SHARDS}) AS shard FROM s8 GROUP BY doc_id),
+g AS (SELECT doc_id, max(b) FILTER (j >= {SHARDS + 1}) AS grown FROM s9 GROUP BY doc_id),
+t AS (SELECT {_CRC_TABLE} AS crc),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, strlen(h) // 2 + 1 AS size, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(strlen(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda acc, x: xor(acc // 256, crc[(xor(acc % 256, x) + 1)::INTEGER]))) AS text_crc32 FROM d, t)
+SELECT c.doc_id, c.size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY c.doc_id, text_crc32, c.size) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM c JOIN a ON a.doc_id IS NOT DISTINCT FROM c.doc_id JOIN g ON g.doc_id IS NOT DISTINCT FROM c.doc_id""",
+    "op2_digest_array": rf"""
 WITH p AS (
-  SELECT page_id,
-    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-r(verdict, rule) AS (VALUES ('allow','com/'), ('block','example.com/en/'), ('allow','www.example.com/en/'), ('block','net/es/'), ('block','net/fr/')),
+  SELECT page_id, coalesce({_LOWER.format(x="regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, rule) AS (VALUES {_RULES}),
 s AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM r),
 m AS (
-  SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
-  FROM p JOIN s ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
-  GROUP BY ALL)
-SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
-FROM p LEFT JOIN (SELECT DISTINCT host, path, rule, verdict FROM m) m ON p.host = m.host AND p.path = m.path""",
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN s ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path""",
+    "op4_parity_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPACE_WORDS.format(x=_LOWER.format(x="coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+u AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach(x, y) AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM reach r JOIN u ON r.y = u.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = s.doc_id""",
+    "op5_rabin_karp": f"""
+WITH w AS (SELECT doc_id, {_SPACE_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+f AS (SELECT h, min(doc_id) AS d FROM k GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT DISTINCT k.doc_id, k.i + o.o AS i FROM k JOIN f ON k.h = f.h AND f.d < k.doc_id, (SELECT unnest(range(13)) AS o) o),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w),
+c AS (SELECT x.doc_id, count(r.i) AS n_removed, coalesce(string_agg(t, ' ' ORDER BY x.i) FILTER (r.i IS NULL), '') AS kept FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.i = x.i GROUP BY x.doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN c ON c.doc_id = w.doc_id""",
+    "op7_wu_manber": f"""
+WITH d AS (SELECT doc_id, {_WORD_CHARS.format(x=_LOWER.format(x="coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_WORD_CHARS.format(x=_LOWER.format(x="coalesce(text, '')"))} AS w FROM benchmark),
+q AS (SELECT item_id, least(len(w), 10) AS m, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+pat AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS p FROM q),
+o AS (SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS p FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM pat) WHERE len(w) >= m)),
+h AS (SELECT doc_id, item_id, o.m, i FROM o JOIN pat ON pat.m = o.m AND pat.p = o.p),
+n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS x FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op8_reply_trees": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {", ".join(str(x) for x in PROBE)})))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.OPEN) + len(chat.CLOSE) + 2} + length(role) + length(text) + {_ESCAPES.format(x="role")} + {_ESCAPES.format(x="text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
 }

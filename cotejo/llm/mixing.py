@@ -59,7 +59,7 @@ def period_schedule(spark: SparkSession, weights: list[int]) -> DataFrame:
         ready = F.transform(
             F.sequence(F.lit(0), F.lit(k - 1)),
             lambda i: F.when(
-                (F.get(s["done"], i) < F.get(w, i)) & (F.get(s["done"], i) * period <= t * F.get(w, i)),
+                (F.get(s["done"], i) < F.get(w, i)) & (F.get(s["done"], i) * period < (t + 1) * F.get(w, i)),
                 F.struct(due(i, F.get(s["done"], i)).alias("d"), i.alias("i")),
             ),
         )

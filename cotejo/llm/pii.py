@@ -43,14 +43,17 @@ SPELLED = {
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 
+# Last labels that make an address of plain words (fixed values).
+TOP_LABELS = "com|org|net|edu|gov|mil|int|info|biz|io|eu|es|fr|de|uk|it|pt|nl|ch|at|mx|ar|cl|co|pe|us|ca|br"
+
 _DIGIT_WORD = "|".join(SPELLED)
 _AT = r"\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*"
 _DOT = r"\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*"
 #: What the transducer rewrites besides single characters: bracketed at and
-#: dot; the words "at" and "dot" between name parts, an "at" only where a dot
-#: follows its next name; runs of at least seven spelled digits.
+#: dot; the words "at" and "dot" between name parts, an "at" only where names
+#: and dots up to a common last label follow; runs of at least seven spelled digits.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_AT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+dot\s+|{_DOT})[A-Za-z0-9]))"
+    rf"(?P<at>{_AT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+|{_DOT})[A-Za-z0-9-]+)*?(?:\s+dot\s+|{_DOT})(?:{TOP_LABELS})\b))"
     rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD})){{6,}}\b)",
     re.IGNORECASE,

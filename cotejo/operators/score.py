@@ -52,6 +52,32 @@ def literal_similarity(premise: Column, norm: Column, n: int = 2, metric: str =
     return F.when((F.size(premise) > 0) & (F.size(norm) > 0), short).otherwise(0.0)
 
 
+def literal_pairs(premises: DataFrame, norms: DataFrame, n: int = 2, metric: str = "containment") -> DataFrame:
+    """(premise_id, norm_id, literal) of all pairs that share a word or n-gram, others being 0.
+
+    premises, norms: premise_id or norm_id, and an array of content tokens. The
+    same signal as ``literal_similarity`` without a cross join: distinct grams
+    of both sides meet by equality and are counted a pair, so the work follows
+    what is shared. A premise sends words only if it is short enough to use them.
+    """
+    if metric not in ("containment", "dice") or n < 1:
+        raise ValueError("unknown literal metric or n < 1")
+    one = lambda c: F.struct(F.lit(1).alias("kind"), F.array_distinct(c).alias("g"))
+    many = lambda c: F.struct(F.lit(n).alias("kind"), T.ngrams(c, n).alias("g"))
+    size = F.size("tokens")
+    wanted = F.when(size < n, F.array(one(F.col("tokens")))).when((size < 12) & F.lit(n > 1), F.array(one(F.col("tokens")), many(F.col("tokens")))).otherwise(F.array(many(F.col("tokens"))))
+
+    p = premises.where(size > 0).select(F.col("premise_id"), size.alias("len"), F.inline(wanted))
+    p = p.select("premise_id", "len", "kind", F.size("g").alias("np"), F.explode("g").alias("gram"))
+    both = F.array(one(F.col("tokens")), many(F.col("tokens"))) if n > 1 else F.array(one(F.col("tokens")))
+    q = norms.where(size > 0).select(F.col("norm_id"), F.inline(both))
+    q = q.select("norm_id", "kind", F.size("g").alias("nq"), F.explode("g").alias("gram"))
+    shared = q.join(p, ["kind", "gram"]).groupBy("premise_id", "norm_id", "kind").agg(F.count("*").cast("double").alias("both"), F.first("np").alias("np"), F.first("nq").alias("nq"), F.first("len").alias("len"))
+    part = F.col("both") / F.col("np") if metric == "containment" else 2 * F.col("both") / (F.col("np") + F.col("nq"))
+    half = F.when((F.col("len") >= n) & (F.col("len") < 12) & F.lit(n > 1), 0.5).otherwise(1.0)
+    return shared.groupBy("premise_id", "norm_id").agg(F.sum(half * part).alias("literal"))
+
+
 def ontological_match(premise: Column, category: Column, norm: Column, known_categories: Column | None = None) -> Column:
     """Ontological signal; null if the premise has no concept.
 

@@ -257,21 +257,20 @@ def hashed_embedding_topk(spark, sf_dir):
 # -- literal, ontological and authority signals --------------------------------------------
 
 _LITERAL = """
-p AS (SELECT item_id, {content} AS a FROM benchmark),
-n AS (SELECT doc_id, {content} AS b FROM documents WHERE doc_id % 20 = 0),
+p AS (SELECT item_id, {content} AS a FROM benchmark WHERE item_id % 20 = 0),
+n AS (SELECT doc_id, {content} AS b FROM documents),
 g AS (SELECT item_id, doc_id, a, b, {ga} AS ga, {gb} AS gb, list_distinct(a) AS ua, list_distinct(b) AS ub FROM p, n WHERE len(a) > 0 AND len(b) > 0),
 s AS (SELECT *, len(list_intersect(ga, gb)) AS both_n, len(list_intersect(ua, ub)) AS both_1 FROM g)
 """.format(content=content_sql("text"), ga=bigram_sql("a"), gb=bigram_sql("b"))
 
 
 def _literal(spark, sf_dir, metric: str, cut=None):
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.content_tokens(F.col("text")).alias("a"))
+    items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("premise_id"), T.content_tokens(F.col("text")).alias("tokens"))
     if cut:
-        items = items.withColumn("a", F.slice("a", 1, cut))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", T.content_tokens(F.col("text")).alias("b"))
-    # a stated query set (the ids divisible by 20) against the benchmark, whose size is bounded
-    pairs = docs.join(F.broadcast(items), (F.size("a") > 0) & (F.size("b") > 0))
-    return pairs.select("item_id", "doc_id", digits(S.literal_similarity(F.col("a"), F.col("b"), 2, metric)).alias("literal")).where("literal > 0")
+        items = items.withColumn("tokens", F.slice("tokens", 1, cut))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("norm_id"), T.content_tokens(F.col("text")).alias("tokens"))
+    found = S.literal_pairs(items, docs, 2, metric)
+    return found.select(F.col("premise_id").alias("item_id"), F.col("norm_id").alias("doc_id"), digits(F.col("literal")).alias("literal")).where("literal > 0")
 
 
 def _literal_sql(one: str, full: str, cut: str = "") -> str:
@@ -917,17 +916,17 @@ def text_quality(spark, sf_dir):
 
 @query(
     f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS toks FROM documents WHERE lang = 'es'),
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS toks FROM documents),
 n AS (SELECT doc_id, list_transform(toks, lambda x: strip_accents(x)) AS w FROM t),
 g AS (SELECT doc_id, w[i : i + 1] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM n) UNION ALL SELECT doc_id, w[i : i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM n)),
 f AS (SELECT array_to_string(w, ' ') AS frase, count(DISTINCT doc_id) AS fragmentos FROM g WHERE NOT list_contains({STOP}, w[1]) AND NOT list_contains({STOP}, w[len(w)]) AND length(w[1]) >= 3 AND length(w[len(w)]) >= 3
   AND NOT list_has_any(w, {_list(T.FILLER_WORDS)}) AND len(list_filter(w, lambda x: NOT list_contains({STOP}, x) AND length(x) >= 5)) > 0 GROUP BY 1)
-SELECT fragmentos, count(*) AS frases FROM (SELECT fragmentos FROM f WHERE fragmentos >= 2 AND NOT EXISTS (SELECT 1 FROM {FORMS_SQL} WHERE contains(' ' || form || ' ', ' ' || frase || ' ')) ORDER BY fragmentos DESC LIMIT 40) GROUP BY 1"""
+SELECT fragmentos, count(*) AS frases FROM (SELECT fragmentos FROM f WHERE fragmentos >= 12 AND NOT EXISTS (SELECT 1 FROM {FORMS_SQL} WHERE contains(' ' || form || ' ', ' ' || frase || ' ')) ORDER BY fragmentos DESC LIMIT 40) GROUP BY 1"""
 )
 def candidate_phrases(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'es'")
+    d = table(spark, sf_dir, "documents")
     known = TH.forms_table(thesaurus(spark)).select("form")
-    found = TH.find_candidates(d, known, least=2, top=40)
+    found = TH.find_candidates(d, known)
     return found.groupBy("fragmentos").agg(F.count("*").alias("frases"))
 
 
@@ -948,7 +947,7 @@ def thesaurus_validate(spark, sf_dir):
 def rf_predict(spark, sf_dir):
     from cotejo.operators import model as M
 
-    data = _feature_rows(spark, sf_dir).where("id % 20 = 0 or id % 7 = 0")
+    data = _feature_rows(spark, sf_dir)
     split = E.grouped_split(data, "dominio")
     fitted = M.train(split.where("not es_test"), trees=20, depth=8)
     return M.predict(fitted, split.where("es_test")).select("id", "veredicto", "pred", digits(F.col("probabilidad")).alias("probabilidad"))

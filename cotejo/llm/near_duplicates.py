@@ -37,6 +37,8 @@ GROUP_SHINGLES = 750_000
 ROW_MEMBERS = 1024
 #: Ids of candidate texts that are broadcast to the scan of the texts; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Links whose components one task finds by itself; more go through distributed steps.
+SMALL_GRAPH = 1_000_000
 #: Times a document whose chunks are too often empty is dealt anew.
 DEALS = 6
 #: The low bits of a key name its band and deal.
@@ -309,12 +311,35 @@ def _near_pairs(percent: int):
     return near
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component of edges (a, b).
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded number of edges: least labels, halved paths."""
+    edges = [np.stack([np.asarray(c) for c in b.columns]) for b in batches if b.num_rows]
+    if not edges:
+        return
+    nodes, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(nodes.size)
+    while True:
+        least = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], least)
+        np.minimum.at(new, root[v], least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keep = np.flatnonzero(root != np.arange(nodes.size))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], ["node", "root"])
+
 
-    Large-star and small-star steps in turn: each node's neighbours are tied to
-    the smallest of them, until every edge leads straight to its root. Steps
-    are a few shuffles of the edges each, their number logarithmic.
+def connected(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """(node, root) for nodes that are not the smallest of their component of edges (a, b).
+
+    Up to ``small`` edges (counted first) one task labels them. More go through
+    large-star and small-star steps in turn: each node's neighbours are tied to
+    the smallest of them, until every edge leads straight to its root; a step
+    is a few shuffles of the edges, their number logarithmic.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
@@ -322,14 +347,16 @@ def connected(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     was = mark(e)
+    if was[0] <= (SMALL_GRAPH if small is None else small):
+        return cut(e.coalesce(1).mapInArrow(_roots, "node bigint, root bigint"))
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
-        small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        tied = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = cut(tied.distinct())
         now = mark(e)
         if now == was:
             break
@@ -392,7 +419,7 @@ def near_duplicate_classes(
     pairs = pairs.join(facts.toDF("c", "nc", "sc"), "c").join(facts.toDF("x", "nx", "sx"), "x")
     apart = F.aggregate(F.zip_with("sc", "sx", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     fits = (F.least("nc", "nx") * 100 >= F.greatest("nc", "nx") * percent) & (F.col("apart") * (100 + percent) <= (F.col("nc") + F.col("nx")) * (100 - percent))
-    pairs = cut(pairs.withColumn("apart", apart).where(fits).select("c", "x", "apart"))
+    pairs = cut(pairs.withColumn("apart", apart).where(fits).select("c", "x"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(set_id, text) of classes, read out of the documents by the rows that stand for them."""
@@ -408,21 +435,11 @@ def near_duplicate_classes(
         both = pairs.select("c", "x").join(texts.toDF("x", "tx"), "x").join(texts.toDF("c", "tc"), "c")
         return cut(both.where(compare("tc", "tx")).select(F.col("c").alias("a"), F.col("x").alias("b")))
 
-    def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        return _with_roots(_with_roots(pairs, roots, "c", "rc"), roots, "x", "rx").where("rc <> rx").select("c", "x")
-
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     if pairs.take(1):
-        texts = texts_of(pairs.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())
-        # first each set's nearest candidate, then what is left between different classes
-        nearest = pairs.groupBy("x").agg(F.min(F.struct("apart", "c")).alias("p")).select("p.c", "x")
-        links = verified(nearest, texts)
+        links = verified(pairs, texts_of(pairs.select(F.explode(F.array("c", "x")).alias("set_id")).distinct()))
         roots = connected(links)
-        rest = cut(across(pairs.join(nearest, ["c", "x"], "left_anti"), roots))
-        if rest.take(1):
-            links = links.unionByName(verified(rest, texts))
-            roots = connected(links)
 
     # groups whose members are not all in one class: compared block by block
     members = _with_roots(members, roots, "x", "root")
@@ -438,10 +455,9 @@ def near_duplicate_classes(
     earlier = F.when(F.col("part") > 0, F.sequence(F.lit(0), F.col("part") - 1))
     blocks = alone.unionByName(sided("low", F.col("part"), F.explode(later))).unionByName(sided("high", F.explode(earlier), F.col("part")))
     near = blocks.groupBy("gid", "i", "j").applyInArrow(_near_pairs(percent), "c bigint, x bigint").distinct()
-    near = cut(near.join(pairs.select("c", "x"), ["c", "x"], "left_anti"))
+    near = cut(near.join(pairs, ["c", "x"], "left_anti"))
     if near.take(1):
-        texts = texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())
-        links = links.unionByName(verified(near, texts))
+        links = links.unionByName(verified(near, texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())))
         roots = connected(links)
 
     own = _with_roots(classes.select("set_id", "least"), roots, "set_id", "root")

@@ -180,20 +180,19 @@ def fit_centroids(
     """A model from rows in training with text and language.
 
     The sample, at most ``per_language`` texts of each language and ``in_all``
-    in all (languages beyond that bound share it evenly), is the first by a hash of the
-    id: every partition sends on no more than that, and whole texts are read.
-    The executors turn texts into sparse counts; only those reach the driver.
+    in all (many languages share it evenly), is the first by a hash of the id;
+    whole texts are read. The executors turn texts into sparse counts; only
+    those reach the driver.
     """
     rows = df.where(in_training(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    langs = ids.select("lang").distinct().limit(in_all).count()
-    each = min(per_language, max(1, in_all // max(1, langs)))
-    first = W.partitionBy("lang").orderBy("h")
-    edges = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("edge"))
-    edge = F.lit(None).cast("bigint")
-    for r in edges.collect():
-        edge = F.when(F.col(lang_col) == r["lang"], F.lit(r["edge"])).otherwise(edge)
-    sample = rows.where(F.xxhash64(id_col) <= edge).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").limit(in_all).collect()
+    each = min(per_language, max(1, in_all // max(1, len(counts))))
+    # by its hash a row falls into twice the sample or not, so no task meets more than that
+    place = F.xxhash64(id_col) / F.lit(float(1 << 64)) + 0.5
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(lang_col) == r["lang"], min(1.0, (2 * each + 50) / r["count"])).otherwise(share)
+    sample = rows.where(place <= share).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     # ids can repeat: the bound holds all the same
     sample = sample.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("n") <= each)
     counted = sample.select("lang", "h", F.arrow_udf(_counted, "binary")("text").alias("v")).orderBy("lang", "h", "v").collect()

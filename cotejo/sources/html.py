@@ -153,6 +153,38 @@ def ancestor_paths(pages: DataFrame, prefix: str, *, id_col: str = "page_id", ht
     return pages.select(id_col, F.explode(udf(html_col)).alias("p")).select(id_col, "p.href", F.col("p.ctx").alias("contexto_jerarquico"))
 
 
+def _read_url(url: str, timeout: float, max_bytes: int) -> str | None:
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as r:
+        body = r.read(max_bytes + 1)
+        return None if len(body) > max_bytes else body.decode(r.headers.get_content_charset() or "utf-8", "replace")
+
+
+def fetch_pages(urls: DataFrame, *, url_col: str = "url", read=_read_url, timeout: float = 30.0, max_bytes: int = 5 << 20, pause: float = 0.0) -> DataFrame:
+    """Rows with ``html``: what ``read(url, timeout, max_bytes)`` gives, null for any failure, blank or oversized page.
+
+    Each task fetches its rows in turn, ``pause`` seconds apart; more partitions fetch in parallel.
+    """
+
+    def fetch(batch: pa.Array) -> pa.Array:
+        import time
+
+        out = []
+        for url in batch.to_pylist():
+            html = None
+            if url and url.strip():
+                try:
+                    html = read(url.strip(), timeout, max_bytes)
+                except Exception:  # a page that can't be had is a null, never a failed job
+                    html = None
+                time.sleep(pause)
+            out.append(html if html and len(html.encode()) <= max_bytes else None)
+        return pa.array(out, pa.string())
+
+    return urls.withColumn("html", F.arrow_udf(fetch, "string")(F.col(url_col)))
+
+
 def plain_lines(html: Column) -> Column:
     """Lines of a page's text: block ends and breaks become line ends, spaces are squeezed, blanks kept out."""
     c = F.regexp_replace(html, r"(?i)</(p|div|h[1-6]|li)>", "\n\n")

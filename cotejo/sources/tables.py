@@ -43,6 +43,32 @@ def write_master(items: DataFrame, path: str, mode: str = "overwrite") -> None:
     gathered.select("tipo_corpus", "fuente", F.current_date().cast("string").alias("fecha_generacion"), F.transform("d", lambda x: x["i"]).alias("datos")).write.mode(mode).json(path)
 
 
+def load_master(spark: SparkSession, path: str, *, mode: str = "estatico", scrape=None, backup: str | None = None, attempts: int = 3, wait: float = 5.0) -> DataFrame:
+    """Master items by source mode.
+
+    ``estatico`` reads the files under ``path``. ``dinamico`` calls ``scrape``
+    for items, up to ``attempts`` times with ``wait`` seconds between, writes
+    them to ``path`` and reads them back; if every attempt fails the ``backup``
+    folder is read instead, and without one the last error is raised.
+    """
+    import time
+
+    if mode == "estatico":
+        return read_master(spark, path)
+    if mode != "dinamico" or scrape is None:
+        raise ValueError("mode is estatico, or dinamico with a scraper")
+    for attempt in range(attempts):
+        try:
+            write_master(scrape(), path)
+            return read_master(spark, path, "*.json")
+        except Exception:  # any failure of a site counts as a failed attempt
+            if attempt + 1 < attempts:
+                time.sleep(wait)
+            elif backup is None:
+                raise
+    return read_master(spark, backup)
+
+
 def gold_index(items: DataFrame) -> DataFrame:
     """Master items classified and brought to index rows: the whole ETL as one plan."""
     return norm_rows(classify(items))

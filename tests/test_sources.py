@@ -154,3 +154,49 @@ def test_reconcile_and_upsert(spark):
     got = {r.tipo: (r.esperado, r.en_indice, r.faltantes, r.huerfanos, r.ok) for r in TB.reconcile(a, b).collect()}
     assert got == {"t": (2, 2, 1, 1, False), "s": (1, 1, 0, 0, True)}
     assert {r.id: r.tipo_corpus for r in TB.upsert(a, b.withColumn("tipo_corpus", F.lit("n"))).collect()} == {"k1": "n", "k2": "t", "k3": "n", "k4": "n"}
+
+
+def test_master_modes(spark, tmp_path):
+    backup = tmp_path / "backup"
+    backup.mkdir()
+    item = {"canon_id": 7, "contexto_jerarquico": "LIBRO I", "texto": "t", "url_origen": ""}
+    (backup / "corpus_a_v1.json").write_text(json.dumps({"tipo_corpus": "corpus_canones", "fuente": C.CODE, "datos": [item]}))
+    tried = []
+
+    def broken():
+        tried.append(1)
+        raise ConnectionError
+
+    assert TB.load_master(spark, str(backup)).count() == 1
+    assert TB.load_master(spark, str(tmp_path / "x"), mode="dinamico", scrape=broken, backup=str(backup), wait=0).count() == 1 and len(tried) == 3
+    with pytest.raises(ConnectionError):
+        TB.load_master(spark, str(tmp_path / "x"), mode="dinamico", scrape=broken, wait=0)
+    fresh = TB.load_master(spark, str(tmp_path / "y"), mode="dinamico", scrape=lambda: TB.load_master(spark, str(backup)))
+    assert [(r.canon_id, r.texto, r.indice) for r in fresh.collect()] == [(7, "t", 0)]
+    with pytest.raises(ValueError):
+        TB.load_master(spark, "p", mode="otro")
+
+
+def test_fetch_never_raises(spark):
+    def read(url, timeout, max_bytes):
+        if "bad" in url:
+            raise TimeoutError
+        return "x" * 20 if "big" in url else f"<p>{url}</p>"
+
+    df = spark.createDataFrame([("a",), ("bad",), ("big",), (" ",), (None,)], "url string")
+    assert {r.url: r.html for r in H.fetch_pages(df, read=read, max_bytes=15).collect()} == {"a": "<p>a</p>", "bad": None, "big": None, " ": None, None: None}
+
+
+def test_chat(spark):
+    from cotejo.plans.chat import Chat
+
+    def verify(df):
+        return df.select("article_id", F.lit(0.5).alias("ivr_max"), F.lit("proximo").alias("veredicto"), F.array().cast("array<string>").alias("errores"))
+
+    chat = Chat(spark, verify, commands={"/pdf": lambda rest: rest.upper()})
+    assert chat.handle("una noticia").barra.count("█") == 6 and chat.handle("  ") is None
+    assert chat.handle("/pdf a.pdf") == "A.PDF" and "/ayuda" in chat.handle("/nada")
+    assert chat.handle("http://x.y")["errores"] == ["no fetcher"]
+    assert chat.handle("/historial").count() == 1
+    chat.handle("/salir")
+    assert not chat.open

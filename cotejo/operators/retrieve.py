@@ -32,10 +32,11 @@ def clamp_similarity(distance: Column) -> Column:
     return F.least(F.greatest(1 - distance, F.lit(0.0)), F.lit(1.0))
 
 
-def _scan(ids: list, matrix: np.ndarray, k: int, skip_same: bool):
-    """Map over norms: each task keeps its k best for each premise."""
+def _scan(sent, k: int, skip_same: bool):
+    """Map over norms: each task keeps its k best for each premise of the broadcast block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
         held = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype="i8")]
         own = np.array(ids, "i8")
         for batch in batches:
@@ -90,7 +91,8 @@ def retrieve_topk(
     def passed(block: list, found: DataFrame) -> DataFrame:
         m = np.array([r["v"] for r in block], float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return found.unionByName(known.mapInArrow(_scan([r["id"] for r in block], m, k, skip_same), schema))
+        sent = spark.sparkContext.broadcast(([r["id"] for r in block], m))
+        return found.unionByName(known.mapInArrow(_scan(sent, k, skip_same), schema))
 
     if k >= 1:
         for row in asked.toLocalIterator():

@@ -15,6 +15,10 @@ def test_the_library_stands_without_the_llm_folders(tmp_path):
     (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    (copy / "cotejo" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    shutil.rmtree(copy / "cotejo" / "llm")
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
 

@@ -282,31 +282,59 @@ def _compare(k: int, percent: int):
     return compare
 
 
-def _near_pairs(percent: int):
-    """Pairs of two blocks of a group, or of one, in different classes, that size and sketch leave possible."""
-
-    def near(table: pa.Table) -> pa.Table:
-        def side(name: str):
-            own = table.filter(pa.compute.equal(table["side"], name))
-            sk = np.stack([np.array(x, "i8") for x in own["sketch"].to_pylist()]) if own.num_rows else np.zeros((0, 16), "i8")
-            return own["x"].to_numpy(), own["n"].to_numpy(), own["root"].to_numpy(), sk
-
-        x, nx, rx, sx = side("low")
-        inside = not pa.compute.any(pa.compute.equal(table["side"], "high")).as_py()
-        y, ny, ry, sy = (x, nx, rx, sx) if inside else side("high")
-        left, right = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-        for i in range(x.size):
-            fit = (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny)) & (rx[i] != ry)
-            if inside:
-                fit[: i + 1] = False
-            j = np.flatnonzero(fit)
-            apart = np.bitwise_count((sx[i] ^ sy[j]).view("u8")).sum(axis=1)  # of signed ones it would count the magnitude
-            j = j[(100 + percent) * apart <= (100 - percent) * (nx[i] + ny[j])]
-            left.append(np.minimum(x[i], y[j]))
-            right.append(np.maximum(x[i], y[j]))
-        a, b = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.table({"c": pa.array(both[:, 0], pa.int64()), "x": pa.array(both[:, 1], pa.int64())})
+def _near_pairs(percent: int, nearest: bool):
+    """Of rows sorted by group (gid, i, j): pairs in different classes that size and sketch leave possible.
+
+    Rows of a group stand together, so the pairs at each distance in the order
+    are compared at once for all groups of a batch. Where a group holds two
+    blocks, only rows of different sides make pairs; pairs with a group's
+    center are known already. ``nearest`` keeps each row's nearest pair alone.
+    """
+
+    def compare(group: np.ndarray, side: np.ndarray, x: np.ndarray, n: np.ndarray, root: np.ndarray, sk: np.ndarray) -> np.ndarray:
+        out = [np.zeros((0, 3), "i8")]
+        two = np.zeros(group.max() + 1, bool)
+        two[group[side]] = True
+        for d in range(1, int(np.bincount(group).max())):
+            k = np.flatnonzero(group[d:] == group[:-d])
+            e = k + d
+            k, e = (v[(root[k] != root[e]) & (100 * np.minimum(n[k], n[e]) >= percent * np.maximum(n[k], n[e])) & (~two[group[k]] | (side[k] != side[e]))] for v in (k, e))
+            apart = np.bitwise_count(sk[k] ^ sk[e]).sum(axis=1, dtype="i8")
+            good = (100 + percent) * apart <= (100 - percent) * (n[k] + n[e])
+            out.append(np.stack([k[good], e[good], apart[good]], axis=1))
+        k, e, apart = np.concatenate(out).T
+        if nearest:
+            row, other, far = np.r_[k, e], np.r_[e, k], np.r_[apart, apart]
+            order = np.lexsort((x[other], far, row))
+            first = order[starts(row[order])]
+            k, e = row[first], other[first]
+        return np.unique(np.stack([np.minimum(x[k], x[e]), np.maximum(x[k], x[e])], axis=1), axis=0)
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        *plain, sketches = batch.columns
+        return [*(np.asarray(c.cast(pa.int64())) for c in plain), np.asarray(sketches.flatten()).view("u8").reshape(batch.num_rows, -1)]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
+            gid, i, j, side, x, n, root, sk = rows
+            group = np.cumsum(np.r_[False, (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            both = compare(group, side.astype(bool), x, n, root, sk)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["c", "x"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = columns(batch)
+            rows = own if held is None else [np.concatenate(c) for c in zip(held, own, strict=True)]
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            at = last[-1] + 1 if last.size else 0  # the last group may go on in the next batch
+            if at:
+                yield flush([c[:at] for c in rows])
+            held = [c[at:] for c in rows]
+        if held is not None:
+            yield flush(held)
 
     return near
 
@@ -442,23 +470,31 @@ def near_duplicate_classes(
         roots = connected(links)
 
     # groups whose members are not all in one class: compared block by block
-    members = _with_roots(members, roots, "x", "root")
-    open_groups = members.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("part").alias("last"), F.count("*").alias("size"))
-    open_groups = open_groups.where("r0 <> r1 and size > 2")
-    left = cut(members.join(open_groups.select("gid", "last"), "gid").join(facts.toDF("x", "n", "sketch"), "x"))
-
-    def sided(at: str, i, j) -> DataFrame:
-        return left.where("last > 0").select("gid", i.alias("i"), j.alias("j"), F.lit(at).alias("side"), "x", "n", "root", "sketch")
-
-    alone = left.select("gid", F.col("part").alias("i"), F.col("part").alias("j"), F.lit("low").alias("side"), "x", "n", "root", "sketch")
-    later = F.when(F.col("part") < F.col("last"), F.sequence(F.col("part") + 1, F.col("last")))
-    earlier = F.when(F.col("part") > 0, F.sequence(F.lit(0), F.col("part") - 1))
-    blocks = alone.unionByName(sided("low", F.col("part"), F.explode(later))).unionByName(sided("high", F.explode(earlier), F.col("part")))
-    near = blocks.groupBy("gid", "i", "j").applyInArrow(_near_pairs(percent), "c bigint, x bigint").distinct()
-    near = cut(near.join(pairs, ["c", "x"], "left_anti"))
-    if near.take(1):
-        links = links.unionByName(verified(near, texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())))
-        roots = connected(links)
+    def still_apart(nearest: bool, left: DataFrame) -> DataFrame:
+        """Candidate pairs inside groups that hold several classes as yet."""
+        left = _with_roots(left, roots, "x", "root")
+        open_groups = left.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("part").alias("last"), F.count("*").alias("size"))
+        open_groups = open_groups.where("r0 <> r1 and size > 2").select("gid", "last")
+        left = left.join(open_groups, "gid").join(centers, "gid").where("x <> c").join(facts.toDF("x", "n", "sketch"), "x")
+        left = cut(left.select("gid", "part", "last", "x", "n", "root", "sketch"))
+
+        def sided(high: bool, i, j) -> DataFrame:
+            return left.where("last > 0").select("gid", i.alias("i"), j.alias("j"), F.lit(high).alias("side"), "x", "n", "root", "sketch")
+
+        alone = left.select("gid", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(False).alias("side"), "x", "n", "root", "sketch")
+        later = F.when(F.col("part") < F.col("last"), F.sequence(F.col("part") + 1, F.col("last")))
+        earlier = F.when(F.col("part") > 0, F.sequence(F.lit(0), F.col("part") - 1))
+        blocks = alone.unionByName(sided(False, F.col("part"), F.explode(later))).unionByName(sided(True, F.explode(earlier), F.col("part")))
+        blocks = blocks.repartition(ranges, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "side")
+        return blocks.mapInArrow(_near_pairs(percent, nearest), "c bigint, x bigint").distinct()
+
+    # first each set's nearest one in a group, which joins most classes; then all that is left
+    for nearest in (True, False):
+        near = cut(still_apart(nearest, members).join(pairs, ["c", "x"], "left_anti"))
+        if near.take(1):
+            links = links.unionByName(verified(near, texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())))
+            roots = connected(links)
+            pairs = pairs.unionByName(near)
 
     own = _with_roots(classes.select("set_id", "least"), roots, "set_id", "root")
     names = own.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -121,8 +121,8 @@ def mix_sources(
     ends = df.groupBy(index.alias("__source")).count().withColumn("__blocks", F.ceil(F.col("count") / block_rows))
     ends = ends.withColumn("__w", F.get(F.lit(w).cast("array<bigint>"), F.col("__source")))
     ends = ends.withColumns({"__round": F.floor(F.col("__blocks") / F.col("__w")), "__nth": (F.col("__blocks") % F.col("__w")).cast("int")})
-    horizon = ends.join(F.broadcast(plan), ["__source", "__nth"]).agg(F.min(F.col("__round") * period + F.col("__slot")).alias("__end"))
-    rows = rows.join(F.broadcast(horizon)).withColumn("within_target", F.col("slot") < F.col("__end"))
+    end = ends.join(F.broadcast(plan), ["__source", "__nth"]).agg(F.min(F.col("__round") * period + F.col("__slot"))).first()[0]
+    rows = rows.withColumn("within_target", F.col("slot") < F.lit(end).cast("bigint"))
     rows = rows.withColumn("__all", F.lit(0))
     rows = number_slots(rows, "__all", ["slot", "__n"], slot_col="position")
-    return rows.drop("__source", "__n", "__round", "__nth", "__slot", "__release", "__deadline", "__end", "__all")
+    return rows.drop("__source", "__n", "__round", "__nth", "__slot", "__release", "__deadline", "__all")

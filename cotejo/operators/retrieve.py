@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +33,22 @@ def clamp_similarity(distance: Column) -> Column:
     return F.least(F.greatest(1 - distance, F.lit(0.0)), F.lit(1.0))
 
 
+def _best(sims: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest similarities, the smaller name first among equals."""
+    spare = k + 16
+    if sims.shape[1] <= 2 * spare:
+        return np.lexsort((names, -sims), axis=1)[:, :k]
+    some = np.argpartition(-sims, spare - 1, axis=1)[:, :spare]
+    few, own = np.take_along_axis(sims, some, 1), np.take_along_axis(names, some, 1)
+    order = np.lexsort((own, -few), axis=1)[:, :k]
+    best = np.take_along_axis(some, order, 1)
+    # where equals of the k-th may lie outside the part, the whole row is sorted
+    tied = np.take_along_axis(few, order, 1)[:, -1] <= few.min(axis=1)
+    if tied.any():
+        best[tied] = np.lexsort((names[tied], -sims[tied]), axis=1)[:, :k]
+    return best
+
+
 def _scan(sent, k: int, skip_same: bool):
     """Map over norms: each task keeps its k best for each premise of the broadcast block."""
 
@@ -40,6 +57,9 @@ def _scan(sent, k: int, skip_same: bool):
         held = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype="i8")]
         own = np.array(ids, "i8")
         for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(1)), 0), False))
+            if not batch.num_rows:
+                continue
             vec = batch.column(1)
             flat = np.asarray(vec.flatten().cast(pa.float64()))
             x = flat.reshape(len(vec), -1)
@@ -50,7 +70,7 @@ def _scan(sent, k: int, skip_same: bool):
                 sim[own[:, None] == norm_ids[None, :]] = -np.inf
             sims = np.concatenate([held[0], sim], axis=1)
             names = np.concatenate([held[1], np.broadcast_to(norm_ids, sim.shape)], axis=1)
-            order = np.lexsort((names, -sims), axis=1)[:, :k]
+            order = _best(sims, names, k)
             held = [np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)]
         good = np.isfinite(held[0])
         if good.any():
@@ -82,8 +102,9 @@ def retrieve_topk(
     """
     spark = norms.sparkSession
     k = min(k, max_k)
-    asked = premises.select(F.col(premise_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
-    known = norms.select(F.col(norm_id).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and size(v) > 0")
+    asked = premises.select(F.col(premise_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
+    # vectors are looked at in Python: a filter on them would compute a UDF's vectors twice
+    known = norms.select(F.col(norm_id).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null")
     schema = "premise_id bigint, norm_id bigint, cosine double"
     found = spark.createDataFrame([], schema)
     block: list = []
@@ -95,8 +116,9 @@ def retrieve_topk(
         return found.unionByName(known.mapInArrow(_scan(sent, k, skip_same), schema))
 
     if k >= 1:
-        for row in asked.toLocalIterator():
-            block.append(row)
+        for row in asked.toLocalIterator(prefetchPartitions=True):
+            if row["v"]:
+                block.append(row)
             if len(block) == BLOCK:
                 found, block = passed(block, found), []
         if block:

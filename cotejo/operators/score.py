@@ -67,10 +67,11 @@ def literal_pairs(premises: DataFrame, norms: DataFrame, n: int = 2, metric: str
     size = F.size("tokens")
     wanted = F.when(size < n, F.array(one(F.col("tokens")))).when((size < 12) & F.lit(n > 1), F.array(one(F.col("tokens")), many(F.col("tokens")))).otherwise(F.array(many(F.col("tokens"))))
 
-    p = premises.where(size > 0).select(F.col("premise_id"), size.alias("len"), F.inline(wanted))
+    # empty arrays explode to nothing; a filter on them would compute the tokens twice
+    p = premises.select(F.col("premise_id"), size.alias("len"), F.inline(wanted))
     p = p.select("premise_id", "len", "kind", F.size("g").alias("np"), F.explode("g").alias("gram"))
     both = F.array(one(F.col("tokens")), many(F.col("tokens"))) if n > 1 else F.array(one(F.col("tokens")))
-    q = norms.where(size > 0).select(F.col("norm_id"), F.inline(both))
+    q = norms.select(F.col("norm_id"), F.inline(both))
     q = q.select("norm_id", "kind", F.size("g").alias("nq"), F.explode("g").alias("gram"))
     shared = q.join(p, ["kind", "gram"]).groupBy("premise_id", "norm_id", "kind").agg(F.count("*").cast("double").alias("both"), F.first("np").alias("np"), F.first("nq").alias("nq"), F.first("len").alias("len"))
     part = F.col("both") / F.col("np") if metric == "containment" else 2 * F.col("both") / (F.col("np") + F.col("nq"))

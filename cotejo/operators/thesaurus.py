@@ -16,6 +16,8 @@ from cotejo.functions.stem import stem_arrays
 SCHEMA = "seq int, id string, canonico string, variantes array<string>, categoria string, nivel_autoridad double"
 #: A one-word form in so many fragments may mean something else.
 COMMON_WORD = 15
+#: Forms of a thesaurus that a plan holds as a literal; more are joined with all n-grams.
+FEW_FORMS = 2000
 KNOWN_FIELDS = {"termino_canonico", "variaciones_lexicas", "categoria", "nivel_autoridad"}
 
 
@@ -62,13 +64,16 @@ def detect_concepts(tokens: DataFrame, forms: DataFrame, *, id_col: str = "doc_i
     """(id, concept_id, categoria): concepts whose form stands in the tokens as whole words, once each.
 
     Every phrase fires, sub-phrases too. The texts' distinct n-grams, up to the
-    longest form, meet the forms by equality; the planner broadcasts the forms
-    if they are small.
+    longest form, meet the forms by equality. Up to FEW_FORMS forms (counted)
+    go into the plan, so only grams that are forms leave their row.
     """
-    if longest is None:
-        longest = forms.agg(F.max("n_words")).first()[0] or 1
+    n_forms, most = forms.agg(F.count("*"), F.max("n_words")).first()
+    longest = longest or most or 1
     t = F.col(tokens_col)
     grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size(t) >= n, T.ngrams(t, n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])))
+    if n_forms <= FEW_FORMS:
+        known = sorted(r["form"] for r in forms.select("form").collect())
+        grams = F.array_intersect(grams, F.lit(known) if known else F.array().cast("array<string>"))
     each = tokens.select(id_col, F.explode(grams).alias("form"))
     return each.join(forms, "form").select(id_col, "concept_id", "categoria").dropDuplicates([id_col, "concept_id"])
 

@@ -45,8 +45,13 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables whose rows take long to work on.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return TB.spread(df) if name in TEXTS else df
 
 
 def digits(c, n: int = 6):

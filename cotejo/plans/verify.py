@@ -56,7 +56,8 @@ def evidence(
         return df if "embedding" in df.columns else df.withColumn("embedding", hashed_embedding(T.ascii_tokens(F.col("texto"))))
 
     asked, norms = embedded(asked), metadata_filter(embedded(norms), where)
-    found = retrieve_topk(asked, norms, s.top_k if k is None else k, max_k=s.max_top_k, skip_same=skip_same)
+    # k rows a premise, read three times below
+    found = retrieve_topk(asked, norms, s.top_k if k is None else k, max_k=s.max_top_k, skip_same=skip_same).persist()
     forms = TH.forms_table(concepts, stemmed=stemmed)
     categories = sorted({r[0] for r in concepts.select("categoria").distinct().collect()})
     p = with_tokens_and_concepts(asked.select("premise_id", "texto"), forms, id_col="premise_id", stemmed=stemmed).toDF("premise_id", "premise_tokens", "premise_concepts")

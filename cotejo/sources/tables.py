@@ -14,6 +14,15 @@ MASTER = f"nivel_jerarquico int, tipo_corpus string, fuente string, fecha_genera
 URLS = "id bigint, url string, categoria string, titulo string, relevancia string, dominio string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if its scan has fewer splits than there are: a small file of one row group.
+
+    Large inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_master(spark: SparkSession, path: str, pattern: str = "corpus_*_v1.json") -> DataFrame:
     """Items of the corpus files in a folder: archivo, tipo_corpus, fuente, indice (from 0) and the item's fields.
 

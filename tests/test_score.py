@@ -110,3 +110,13 @@ def test_report_and_features(spark):
     assert f[1].so_disponible == 1.0 and f[2].so_disponible == 0.0 and f[1].n_conceptos_premisa == 2.0
     assert f[1].sb_brecha == pytest.approx(0.2) and f[1].ivr_brecha == pytest.approx(0.1)
     assert [x.norm_id for x in S.rerank(s).where("premise_id = 1").orderBy("posicion").collect()] == [6, 5]
+
+
+def test_best_columns_with_many_ties():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in (3, 1000):
+        sims = rng.integers(0, values, (40, 300)) / values
+        names = np.stack([rng.permutation(300) for _ in range(40)])
+        assert np.array_equal(R._best(sims, names, 5), np.lexsort((names, -sims), axis=1)[:, :5])

@@ -173,11 +173,11 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
     found = [(a, b, k, True) for a, b, k in base]
     if _HINT.search(text) or (not text.isascii() and _foreign().search(text)):
         norm, starts, ends, changed = transduce(text)
-        taken = sorted((a, b) for a, b, _ in base)
         for a, b, kind in base_spans(norm):
             if any(changed[a:b]):
                 s, e = starts[a], ends[b - 1]
-                if all(e <= x or y <= s for x, y in taken):
+                # a partly disguised identifier holds a base span of its plain part, and is more than that
+                if not any(x <= s and e <= y for x, y, _ in base):
                     found.append((s, e, kind, False))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -198,8 +198,8 @@ def find_pii(df: DataFrame, *, text_col: str = "text", out_col: str = "pii") ->
 
     Offsets are code points of the source, end exclusive. base marks what the
     detectors find in the text as it stands; the others appear only after
-    deobfuscation, hold at least one rewritten character, and never overlap a
-    base span. Null and empty texts have no spans, repeated rows are judged
+    deobfuscation, hold at least one rewritten character, and may overlap a base
+    span (a disguised identifier's plain part) but never lie inside one. Null and empty texts have no spans, repeated rows are judged
     alike, and an existing column ``out_col`` is replaced. A narrow step.
     """
     return df.withColumn(out_col, F.arrow_udf(_find, RESULT)(F.col(text_col)))

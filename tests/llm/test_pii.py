@@ -55,6 +55,28 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert (found, kind, False) in spans
 
 
+@pytest.mark.parametrize(
+    ("text", "part", "kind"),
+    [
+        ("j\u043ehn@example.com", "hn@example.com", "email"),
+        ("john@example.c\u043em", "john@example.c", "email"),
+        ("jane dot doe@example.com", "doe@example.com", "email"),
+        ("jane@mail.example dot com", "jane@mail.example", "email"),
+        ("192.168.1.1\uff10", "192.168.1.1", "ip"),
+    ],
+)
+def test_a_partly_disguised_identifier_is_found_whole(spark, documents, text, part, kind):
+    a = 3 + text.index(part)
+    assert pii.find_spans(f"to {text} ok") == sorted([(a, a + len(part), kind, True), (3, 3 + len(text), kind, False)])
+    red = pii.redact(pii.find_pii(documents([(1, f"to {text} ok")])))
+    assert red.first().text == f"to <{kind.upper()}> ok"
+
+
+def test_nothing_is_added_inside_a_base_span():
+    text = "one-two-three-four-five-six-seven@example.com"
+    assert pii.find_spans(text) == [(0, len(text), "email", True)]
+
+
 def test_plain_prose_adds_nothing():
     for text in ("look at the dot on one or two lines at home. dot", "to be at one dot", "he (at last) came", "A at B."):
         assert pii.find_spans(text) == []

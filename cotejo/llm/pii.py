@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from operator import ne
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,23 +44,37 @@ SPELLED = {
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 
-# Last labels that make an address of plain words (fixed values).
+# Common last labels (fixed values), asked for only behind a determiner: "at the dot com".
 TOP_LABELS = "com|org|net|edu|gov|mil|int|info|biz|io|eu|es|fr|de|uk|it|pt|nl|ch|at|mx|ar|cl|co|pe|us|ca|br"
+_DETERMINER = "the|an?|this|that|these|those|each|every|any|some|one|no|its|his|her|my|your|our|their"
 
 _DIGIT_WORD = "|".join(SPELLED)
 _AT = r"\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*"
 _DOT = r"\s*[\(\[\{<]\s*(?:dot|\.)\s*[\)\]\}>]\s*"
+_SAID_DOT = rf"(?:\s+dot\s+|{_DOT})"
+#: What stands behind a bare "at" of an address: names and dots up to a last label of
+#: letters. Behind a dot as it is written that label has one case ("home.But" is a
+#: sentence's end), and the name isn't www; a determiner needs a common last label.
+_HOST = (
+    rf"(?!www\.)(?!(?:{_DETERMINER})\s+dot\s+(?!(?:{TOP_LABELS})\b))"
+    rf"[A-Za-z0-9-]+(?:(?:\.|{_SAID_DOT})[A-Za-z0-9-]+)*?(?:{_SAID_DOT}[A-Za-z]{{2,}}|\.(?-i:[a-z]{{2,}}|[A-Z]{{2,}}))(?![A-Za-z0-9-])"
+)
+_AT_DOT = rf"(?P<at>{_AT}|(?<=[A-Za-z0-9])\s+at\s+(?={_HOST}))|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
 #: What the transducer rewrites besides single characters: bracketed at and
-#: dot; the words "at" and "dot" between name parts, an "at" only where names
-#: and dots up to a common last label follow; runs of at least seven spelled digits.
-_DISGUISE = re.compile(
-    rf"(?P<at>{_AT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+|{_DOT})[A-Za-z0-9-]+)*?(?:\s+dot\s+|{_DOT})(?:{TOP_LABELS})\b))"
-    rf"|(?P<dot>{_DOT}|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD})){{6,}}\b)",
+#: dot; the words "at" and "dot" between name parts; runs of at least seven spelled digits.
+_DISGUISE = re.compile(rf"{_AT_DOT}|(?P<digits>(?:\bplus[\s-]+)?\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD})){{6,}}\b)", re.IGNORECASE)
+#: The same for numbers: every spelled digit, and "plus" before one or a digit. The
+#: detectors of numbers decide; names would lose their limits ("room two one@example.com").
+_NUMBERS = re.compile(
+    rf"{_AT_DOT}|(?P<digits>(?:(?<=[0-9])[\s,-]+)?(?:(?:\bplus[\s-]+)?\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD}))*\b(?:[\s,-]+(?=[0-9]))?|\bplus[\s-]+(?=[0-9])))",
     re.IGNORECASE,
 )
-_HINT = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|\.)\s*[\)\]\}>]|\sdot\s|(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", re.IGNORECASE)
-_NUMBER_WORD = re.compile(rf"\bplus\b|\b(?:{_DIGIT_WORD})\b", re.IGNORECASE)
+#: Looked for in case-folded text, for speed. Without one of the first three nothing of
+#: _AT_DOT occurs; without the last no number holds a spelled digit, as a lone one is too short.
+_BRACKETED = re.compile(r"[\(\[\{<]\s*(?:at|@|dot|\.)\s*[\)\]\}>]")
+_AT_HOST = re.compile(r"at\s+[a-z0-9-]+\.[a-z0-9]")
+_NEAR = re.compile(rf"(?:{_DIGIT_WORD}|plus|[0-9])(?:[\s,().\[\]{{}}<>-]|dot)+(?:[0-9]|{_DIGIT_WORD})")
+_NUMBER_PART = re.compile(rf"\bplus\b[\s-]*|\b(?:{_DIGIT_WORD})\b|[\s,-]+", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -115,37 +130,44 @@ def _plain(c: str) -> str:
     return str(d) if d is not None else c.translate(HOMOGLYPHS)
 
 
-def transduce(text: str) -> tuple[str, list[int], list[int], list[bool]]:
+def transduce(text: str, disguise: re.Pattern = _DISGUISE) -> tuple[str, list[int], list[int], list[bool]]:
     """Rewritten text; for each of its characters the source start and end, and whether it changed."""
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []
     changed: list[bool] = []
 
-    def put(s: str, a: int, b: int) -> None:
-        for c in s:
-            out.append(c)
-            starts.append(a)
-            ends.append(b)
-            changed.append(True)
+    def put(c: str, a: int, b: int) -> None:
+        out.append(c)
+        starts.append(a)
+        ends.append(b)
+        changed.append(True)
 
     def copy(a: int, b: int) -> None:
-        for i in range(a, b):
-            c = text[i]
-            p = c if c < "\x80" else _plain(c)
-            out.append(p)
-            starts.append(i)
-            ends.append(i + 1)
-            changed.append(p != c)
+        p, c = plain[a:b], text[a:b]
+        out.append(p)
+        starts.extend(range(a, b))
+        ends.extend(range(a + 1, b + 1))
+        changed.extend([False] * (b - a) if p == c else map(ne, p, c))
 
     # disguises are looked for in the text with plain characters, which keeps offsets
     plain = text if text.isascii() else "".join(map(_plain, text))
     at = 0
-    for m in _DISGUISE.finditer(plain):
+    for m in disguise.finditer(plain):
         copy(at, m.start())
         if m.lastgroup == "digits":
-            for w in _NUMBER_WORD.finditer(plain, m.start(), m.end()):
-                put("+" if w[0].lower() == "plus" else SPELLED[w[0].lower()], *w.span())
+            for w in _NUMBER_PART.finditer(plain, *m.span()):
+                word = w[0].casefold()
+                if word in SPELLED:
+                    put(SPELLED[word], *w.span())
+                elif word.startswith("plus"):
+                    put("+", w.start(), w.start() + 4)
+                elif m.start() == w.start() or m.end() == w.end():
+                    # towards a digit as it is written: one space or hyphen, which numbers may hold
+                    if w[0] in (" ", "-"):
+                        copy(*w.span())
+                    else:
+                        put(" ", *w.span())
         else:
             put("@" if m.lastgroup == "at" else ".", *m.span())
         at = m.end()
@@ -153,32 +175,27 @@ def transduce(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     return "".join(out), starts, ends, changed
 
 
-_FOREIGN: re.Pattern | None = None
-
-
-def _foreign() -> re.Pattern:
-    """Characters that _plain changes."""
-    global _FOREIGN
-    if _FOREIGN is None:
-        odd = [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and _plain(chr(i)) != chr(i)]
-        _FOREIGN = re.compile("[" + "".join(map(re.escape, odd)) + "]")
-    return _FOREIGN
-
-
 def find_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base) in the source, by start and then kind as listed."""
     if not text:
         return []
     base = base_spans(text)
-    found = [(a, b, k, True) for a, b, k in base]
-    if _HINT.search(text) or (not text.isascii() and _foreign().search(text)):
-        norm, starts, ends, changed = transduce(text)
+    odd = not text.isascii() and any(_plain(c) != c for c in set(text))
+    low = ("".join(map(_plain, text)) if odd else text).casefold()
+    near = _NEAR.search(low)
+    views = [_DISGUISE] if odd or near or "dot" in low or _BRACKETED.search(low) or _AT_HOST.search(low) else []
+    if near:
+        views.append(_NUMBERS)
+    added: list[tuple[int, int, str]] = []
+    for view in views:
+        norm, starts, ends, changed = transduce(text, view)
         for a, b, kind in base_spans(norm):
-            if any(changed[a:b]):
+            if any(changed[a:b]) and not (view is _NUMBERS and kind == "email"):
                 s, e = starts[a], ends[b - 1]
                 # a partly disguised identifier holds a base span of its plain part, and is more than that
-                if not any(x <= s and e <= y for x, y, _ in base):
-                    found.append((s, e, kind, False))
+                if not any(x <= s and e <= y for x, y, _ in base) and not any(x <= s and e <= y and kind == z for x, y, z in added):
+                    added.append((s, e, kind))
+    found = [(*x, True) for x in base] + [(*x, False) for x in added]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

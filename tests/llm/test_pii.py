@@ -72,6 +72,38 @@ def test_a_partly_disguised_identifier_is_found_whole(spark, documents, text, pa
     assert red.first().text == f"to <{kind.upper()}> ok"
 
 
+@pytest.mark.parametrize(
+    ("found", "kind"),
+    [
+        ("one nine two dot one six eight dot one dot one", "ip"),
+        ("192 dot one six eight dot 1 dot one", "ip"),
+        ("one.two.three.four", "ip"),
+        ("4111 1111 1111 one one one one", "card"),
+        ("four 111 1111 1111,\none one one one", "card"),
+        ("+1 269 555 three two nine six", "phone"),
+        ("plus 1 (two six nine) 555 3296", "phone"),
+        ("john at example dot dev", "email"),
+        ("john at example dot jp", "email"),
+        ("john at mail.example dot pl", "email"),
+        ("john at example dot in", "email"),
+        ("john at example.com", "email"),
+        ("john at the dot com", "email"),
+        ("one two three four five six seven at example dot com", "email"),
+    ],
+)
+def test_short_and_mixed_disguises(found, kind):
+    text = f"to {found}, ok"
+    spans = [(text[a:b], k, own) for a, b, k, own in pii.find_spans(text)]
+    assert (found, kind, False) in spans
+
+
+def test_spelled_digits_join_no_names():
+    for text in ("room two one@example.com", "see a@b.com one two", "1 one@example.com"):
+        assert [own for *_, own in pii.find_spans(text)] == [True]
+    for text in ("we stayed at home.But then", "look at the dot in red", "seen at www.example.com", "at 3.5 or one, two, three of 192.168 one"):
+        assert pii.find_spans(text) == []
+
+
 def test_nothing_is_added_inside_a_base_span():
     text = "one-two-three-four-five-six-seven@example.com"
     assert pii.find_spans(text) == [(0, len(text), "email", True)]

@@ -36,19 +36,34 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.size("__contamination.hits") == 0).select(*docs.columns)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mix: files by ranges of positions, rows sorted inside."""
+def _places(docs: DataFrame) -> DataFrame:
+    """(__id, position, within_target) in the mix: rows with one id stand together, at the first one's position."""
     keys = docs.select("doc_id", "source")
     mixed = mixing.mix_sources(keys, ["doc_id"], "source", mixing.target_weights(keys, "source", MIX_POWER))
-    # rows with one id stand together, at the first one's position
-    places = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+    first = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("position", "within_target")).alias("__first"))
+    return first.select("__id", "__first.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, in the order of the mix: files by ranges of positions, rows sorted inside."""
+    places = _places(docs).select("__id", F.col("position").alias("__position"))
     placed = docs.join(places, docs["doc_id"].eqNullSafe(places["__id"]))
     return placed.repartitionByRange("__position").sortWithinPartitions("__position").select(*[docs[c] for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard, by jump hash of its id; the mix's order stays."""
-    return sharding.assign_shards(docs, "doc_id", SHARDS)
+    """Every document with its shard, by jump hash of its id, and its place in the mix.
+
+    Adds shard, position (in the whole mix), within_target (no source has run
+    out before it) and slot (gapless in the shard, by position). Readers deal
+    files out by size, so the order is in these columns; the mix depends on the
+    rows' ids and sources only, and gives the positions that mix() sorted by.
+    Rows with one id share a place.
+    """
+    places = sharding.number_slots(sharding.assign_shards(_places(docs), "__id", SHARDS), "shard", ["position"])
+    added = ["shard", "position", "within_target", "slot"]
+    placed = docs.join(places, docs["doc_id"].eqNullSafe(places["__id"]))
+    return placed.select(*[docs[c] for c in docs.columns if c not in added], *[places[c] for c in added])
 
 
 STAGES = [

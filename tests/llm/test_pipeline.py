@@ -52,6 +52,19 @@ def test_run_gives_the_last_stage(spark, kept):
     assert sorted(map(tuple, got.select("doc_id", "shard").collect())) == sorted(map(tuple, kept[1][-1].select("doc_id", "shard").collect()))
 
 
+def test_the_mix_is_in_the_rows_of_a_run(spark, kept):
+    from cotejo.llm import mixing
+
+    keys = kept[1][3].select("doc_id", "source")
+    plan = mixing.mix_sources(keys, ["doc_id"], "source", mixing.target_weights(keys, "source", P.MIX_POWER)).collect()
+    rows = P.run(spark, SF).select("doc_id", "shard", "position", "within_target", "slot").collect()
+    assert {r.doc_id: (r.position, r.within_target) for r in rows} == {r.doc_id: (r.position, r.within_target) for r in plan}
+    assert len({r.shard for r in rows}) > 1
+    for s in {r.shard for r in rows}:
+        own = sorted((r for r in rows if r.shard == s), key=lambda r: r.position)
+        assert [r.slot for r in own] == list(range(len(own)))
+
+
 def test_odd_rows_pass_through_every_stage(spark, documents, tmp_path):
     prose = "the and of with in that was on by for as are to his from it an were " * 6
     rows = [(1, prose), (1, prose), (2, None), (None, prose + "end of it all for now"), (4, ""), (5, prose + "x " * 20_000, None, None)]

@@ -25,10 +25,12 @@ BINS = 1 << 13
 PER_LANGUAGE, IN_ALL = 300, 2400
 CENTROIDS = 4
 #: A text is rejected below this share of its centroid's lowest sample cosines.
-SLACK = 0.3
+SLACK = 0.8
 QUANTILE = 0.005
-#: A text of fewer n-grams has a sparser vector, and a floor lower by the root of its share.
+#: A text of fewer different n-grams has a sparser vector: its cosine counts by the root of its share.
 FULL_GRAMS = 400
+#: A cluster with a smaller share of its language's sample is dissolved into the others.
+LEAST_SHARE = 0.05
 NONE = "und"
 #: Texts are vectorised in groups of about so many characters.
 GROUP_CHARS = 4_000_000
@@ -90,9 +92,36 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield start, texts[start:]
 
 
+def fullness(grams: np.ndarray) -> np.ndarray:
+    """The share of a full text's cosine that so many different n-grams can reach."""
+    return np.minimum(1.0, np.sqrt(grams / FULL_GRAMS))
+
+
+def clustered(own: np.ndarray, centroids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroid rows of spherical k-means and each vector's cluster; no cluster of a few outliers."""
+    rng = np.random.default_rng(0)
+    seeds = [own[(own @ own.mean(axis=0)).argmax()]]
+    while len(seeds) < min(centroids, len(own)):
+        far = np.maximum(0.0, 1 - (own @ np.stack(seeds).T).max(axis=1).astype("f8")) ** 2
+        if far.sum() <= 0:
+            break
+        seeds.append(own[rng.choice(len(own), p=far / far.sum())])
+    c = np.stack(seeds)
+    while True:
+        for _ in range(12):
+            near = (own @ c.T).argmax(axis=1)
+            c = np.stack([own[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        near = (own @ c.T).argmax(axis=1)
+        sizes = np.bincount(near, minlength=len(c))
+        if len(c) == 1 or sizes.min() >= max(2, LEAST_SHARE * len(own)):
+            return c, near
+        c = np.delete(c, sizes.argmin(), axis=0)
+
+
 @dataclass
 class Centroids:
-    """A fitted model: idf, centroid rows, their languages and lowest accepted cosines."""
+    """A fitted model: idf, centroid rows, their languages and lowest accepted cosines of full texts."""
 
     idf: np.ndarray
     rows: np.ndarray
@@ -111,16 +140,16 @@ class Centroids:
                 continue
             cosines = self.vectors(counts) @ self.rows.T
             best = cosines.argmax(axis=1)
-            grams = counts.sum(axis=1)
+            grams = (counts > 0).sum(axis=1)
             for i in np.flatnonzero(grams):
                 k, s = best[i], min(1.0, max(0.0, float(cosines[i, best[i]])))
-                floor = float(self.floors[k]) * min(1.0, (grams[i] / FULL_GRAMS) ** 0.5)
+                floor = float(self.floors[k]) * float(fullness(grams[i]))
                 out[start + i] = {"lang_pred": self.langs[k], "score": s, "rejected": bool(s < floor)}
         return out
 
 
 def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS) -> Centroids:
-    """Idf over the sample, then spherical k-means for each language, from farthest-first seeds."""
+    """Idf over the sample, then spherical k-means for each language, from seeds drawn by squared distance."""
     seen = (counts > 0).sum(axis=0)
     idf = np.log((1 + len(labels)) / (1 + seen)).astype("f4") + 1
     model = Centroids(idf, np.zeros((0, BINS), "f4"), [], np.zeros(0))
@@ -131,23 +160,12 @@ def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS) -> Ce
         own = own[np.linalg.norm(own, axis=1) > 0]
         if not len(own):
             continue
-        mean = own.mean(axis=0)
-        seeds = [own[(own @ mean).argmax()]]
-        while len(seeds) < min(centroids, len(own)):
-            seeds.append(own[(own @ np.stack(seeds).T).max(axis=1).argmin()])
-        c = np.stack(seeds)
-        for _ in range(12):
-            near = (own @ c.T).argmax(axis=1)
-            c = np.stack([own[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        cosines = own @ c.T
-        near = cosines.argmax(axis=1)
+        c, near = clustered(own, centroids)
         for k in range(len(c)):
-            mine = cosines[near == k, k]
-            if mine.size:
-                rows.append(c[k])
-                langs.append(lang)
-                floors.append(SLACK * float(np.quantile(mine, QUANTILE)))
+            mine = near == k
+            rows.append(c[k])
+            langs.append(lang)
+            floors.append(SLACK * float(np.quantile(own[mine] @ c[k] / fullness((own[mine] > 0).sum(axis=1)), QUANTILE)))
     if rows:
         model = Centroids(idf, np.stack(rows).astype("f4"), langs, np.array(floors))
     return model

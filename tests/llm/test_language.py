@@ -1,3 +1,6 @@
+import base64
+import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -74,3 +77,30 @@ def test_held_out_accuracy_on_the_test_data(spark):
     assert len(rows) > 100
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) >= 0.97
     assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
+
+
+def test_what_is_no_known_language_is_rejected(spark):
+    sf, rnd = "/root/testdata/sf0.01", random.Random(0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    words = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(200))
+    odd = {
+        "letters": words("abcdefghijklmnopqrstuvwxyz"),
+        "consonants": words("bcdfghjklmnpqrstvwxz"),
+        "base64": "\n".join(base64.b64encode(rnd.randbytes(57)).decode() for _ in range(30)),
+        "hex": "\n".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(40)),
+        "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+        "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+        "turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve "
+        "birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. " * 3,
+    }
+    model = G.fit_centroids(docs)
+    assert {k: r["rejected"] for k, r in zip(odd, model.predict(list(odd.values())), strict=True)} == dict.fromkeys(odd, True)
+
+
+def test_outliers_make_no_clusters():
+    rng = np.random.default_rng(0)
+    two = rng.integers(0, 2, 200)[:, None] == np.arange(2)
+    x = np.hstack([two + 0.1 * rng.random((200, 2)), np.zeros((200, 4))])
+    x[:4] = np.eye(6)[2:]  # each far from all others
+    c, near = G.clustered((x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4"), 4)
+    assert np.bincount(near).min() >= 10

@@ -106,8 +106,7 @@ def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = fingerprints.add_fingerprint(docs, "text", "anchors")
-    docs = fingerprints.with_next(docs, "doc_id", ["text", "anchors"], F.xxhash64("text"))
+    docs = fingerprints.with_next(docs, "doc_id", ["text", "anchors"], F.col("text"), lambda rows: fingerprints.add_fingerprint(rows, "text", "anchors"))
     n = F.length("text")
     cut_at = (n - F.floor(n / 4)).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), cut_at), F.substring("next_text", F.lit(1), n - cut_at))

@@ -20,24 +20,68 @@ def prose(seed, n):
 
 def test_anchors_are_closed_syncmers(spark):
     """The rule, straight from the units and Spark's own hashes."""
-    df = P.add_fingerprint(texts(spark, [(1, prose(1, 150))]), "text", "f", "at")
-    units = spark.sql(f"select regexp_extract_all('{prose(1, 150)}', r'(\\S{{1,8}})', 1) u").first().u
+    text = prose(1, 150)
+    df = P.add_fingerprint(texts(spark, [(1, text)]), "text", "f", "at")
+    units = [w[i : i + 16] for w in text.split() for i in range(0, len(w), 16)]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u string").select("i", F.xxhash64("u").alias("h"))
     h = [r.h for r in rows.orderBy("i").collect()]
-    pair = {}
+    pairs = list(zip(h, h[1:], strict=False))
+    ask = spark.createDataFrame(pairs, "a bigint, b bigint").distinct().select("a", "b", F.xxhash64("a", "b").alias("h"))
+    of = {(r.a, r.b): r.h for r in ask.collect()}
+    s = [of[x] for x in pairs]
+    want = [i for i in range(len(h) - P.K + 1) if min(s[i : i + 3]) in (s[i], s[i + 2])]
+    assert df.first()["at"] == want
+    assert max(b - a for a, b in zip(want, want[1:], strict=False)) <= P.K - P.S + 1
 
-    def joined(xs):
-        ask = spark.createDataFrame(xs, "a bigint, b bigint").distinct().select("a", "b", F.xxhash64("a", "b").alias("h"))
-        pair.update({(r.a, r.b): r.h for r in ask.collect()})
 
-    joined(list(zip(h, h[1:], strict=False)))
-    p = [pair[x] for x in zip(h, h[1:], strict=False)]
-    joined(list(zip(p, h[2:], strict=False)))
-    s = [pair[x] for x in zip(p, h[2:], strict=False)]
-    want = [i for i in range(len(h) - P.K + 1) if min(s[i : i + 8]) in (s[i], s[i + 7])]
-    assert df.first()["at"] == want
-    gaps = [b - a for a, b in zip(want, want[1:], strict=False)]
-    assert max(gaps) <= P.K - P.S + 1
+ALPHABETS = {
+    "han": [chr(c) for c in range(0x4E00, 0x4F00)], "thai": [chr(c) for c in range(0xE01, 0xE2F)], "cyrillic": [chr(c) for c in range(0x430, 0x450)],
+    "base64": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), "hex": list("0123456789abcdef"), "dna": list("ACGT"),
+    "url": list("abcdefghijklmn/?&=."), "consonants": list("bcdfg"), "marks": list("!?.,;"),
+}
+
+
+def likeness_to(spark, rows):
+    """(key, text, other) to key -> likeness."""
+    df = spark.createDataFrame(rows, "k string, a string, b string")
+    df = P.add_fingerprint(P.add_fingerprint(df, "a", "fa"), "b", "fb")
+    return {r.k: r.x for r in df.select("k", P.likeness(F.col("fa"), F.col("fb")).alias("x")).collect()}
+
+
+def test_text_without_spaces_keeps_its_anchors(spark):
+    rnd, rows = random.Random(4), []
+    for name, letters in ALPHABETS.items():
+        t = "".join(rnd.choices(letters, k=4000))
+        rows += [(f"{name} front", t, "x" + t), (f"{name} end", t, t[:-1]), (f"{name} middle", t, t[:2000] + "x" + t[2000:])]
+    got = likeness_to(spark, rows)
+    assert {k: v for k, v in got.items() if v <= 0.97} == {}
+
+
+def test_no_length_changes_the_kind_of_anchor(spark):
+    rows = []
+    for n in range(8, 60):
+        t = prose(n, n)
+        rows.append((str(n), t, t[: t.rindex(" ")]))
+    got = {int(k): v for k, v in likeness_to(spark, rows).items()}
+    assert min(v for n, v in got.items() if n >= 17) > 0.8
+    assert min(got.values()) >= 0.5 and sum(got.values()) / len(got) > 0.9
+
+
+def test_a_changed_quarter_of_a_short_text_is_seen_as_such(spark):
+    rows = [(str(n), prose(n, n), " ".join(prose(n, n).split()[: n - n // 4] + prose(1000 + n, n // 4).split())) for n in range(10, 41)]
+    assert min(likeness_to(spark, rows).values()) > 0.2
+
+
+def test_likeness_against_brute_force(spark):
+    """Shared share of the anchor sets, from the positions of the anchors and the units themselves."""
+    sets = {}
+    for i, t in enumerate((prose(5, 60), prose(5, 45) + " " + prose(6, 20))):
+        at = P.add_fingerprint(texts(spark, [(i, t)]), "text", "f", "at").first()["at"]
+        words = [w[j : j + 16] for w in t.split() for j in range(0, len(w), 16)]
+        sets[i] = {tuple(words[a : a + P.K]) for a in at}
+    want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    got = likeness_to(spark, [("x", prose(5, 60), prose(5, 45) + " " + prose(6, 20))])
+    assert 0.3 < want < 1 and got["x"] == pytest.approx(want)
 
 
 def test_an_edit_moves_no_anchor_elsewhere(spark):
@@ -53,6 +97,7 @@ def test_nulls_short_long_equal_and_clashing(spark):
     df = texts(spark, [(1, None), (2, ""), (3, "one"), (4, "one"), (5, long), (6, "日本語 " * 30), (7, " \n ")]).withColumns({"f": F.lit(1), "u": F.lit(2)})
     got = {r.doc_id: r.f for r in P.add_fingerprint(df, "text", "f").collect()}
     assert got[1] == got[2] == got[7] == [] and got[3] == got[4] and len(got[3]) == 1
+    assert P.add_fingerprint(df.limit(0), "text", "f").count() == 0
     assert len(got[5]) > 500 and got[6]
     like = spark.createDataFrame([([], []), ([1], []), ([1, 2], [2, 3])], "a array<int>, b array<int>")
     assert [r[0] for r in like.select(P.likeness(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1 / 3]
@@ -63,7 +108,7 @@ def test_next_rows_in_order(spark, n):
     rnd = random.Random(n)
     ids = rnd.sample(range(-1000, 100_000), n)
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string").withColumns({"block": F.lit(0), "k": F.lit(0)})
-    got = {r.doc_id: r.next_text for r in P.with_next(df, "doc_id", ["text"], F.xxhash64("text")).collect()}
+    got = {r.doc_id: r.next_text for r in P.with_next(df, "doc_id", ["text"], F.col("text")).collect()}
     order = sorted(ids)
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
@@ -71,8 +116,26 @@ def test_next_rows_in_order(spark, n):
 def test_next_with_repeated_and_null_ids(spark):
     rows = [(None, "n"), (1, "a"), (1, "a"), (1, "b"), (2, "c")]
     got = rows_by(P.with_next(texts(spark, rows), "doc_id", ["text"], F.col("text")))
-    assert [r.next_text for r in got[None]] == ["a"] and [r.next_text for r in got[2]] == ["n"]
-    assert sorted(r.next_text for r in got[1]) == ["a", "b", "c"]
+    assert got[None][0].next_text in ("a", "b") and [r.next_text for r in got[2]] == ["n"]
+    after = sorted(r.next_text for r in got[1])
+    assert len(after) == 3 and "c" in after and set(after) <= {"a", "b", "c"}
+
+
+def test_a_hot_key_is_cut_into_blocks_and_stays_in_order(spark):
+    rows = [(5, f"t{i}") for i in range(400)] + [(None, f"n{i}") for i in range(200)] + [(i, f"o{i}") for i in range(6, 300)] + [(1, "first")]
+    blocks = []
+    prepare = lambda r: blocks.append(r) or r.withColumn("twice", F.concat("text", "text"))
+    got = P.with_next(texts(spark, rows), "doc_id", ["text", "twice"], F.col("text"), prepare).collect()
+    assert len(got) == len(rows) and all(r.next_twice == r.next_text * 2 for r in got)
+    follows = {r.text: r.next_text for r in got}
+    seen, at = [], "o299"
+    for _ in rows:
+        at = follows[at]
+        seen.append(at)
+    kinds = "".join(t[0] for t in seen)
+    assert kinds == "n" * 200 + "f" + "t" * 400 + "o" * 294 and len(set(seen)) == len(rows)
+    sizes = [r["count"] for r in blocks[0].groupBy("__block").count().collect()]
+    assert max(sizes) < 150
 
 
 def test_query_against_brute_force(spark):

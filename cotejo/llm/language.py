@@ -197,22 +197,26 @@ def fit_centroids(
 ) -> Centroids:
     """A model from rows in training with text and language.
 
-    The sample, at most ``per_language`` texts of each language and ``in_all``
-    in all (many languages share it evenly), is the first by a hash of the id;
-    whole texts are read. The executors turn texts into sparse counts; only
-    those reach the driver.
+    The sample is, of each language, the ``per_language`` texts with the smallest
+    hashes of id and text (fewer each if they would be over ``in_all`` in all),
+    so every language with rows in training is learned, whatever its ids; more
+    than ``in_all`` languages are refused. Repeated rows count as often as they
+    come, as far as the bound allows. Whole texts are read. The executors find
+    the hashes, then turn the chosen texts into sparse counts; only those, and
+    one bound for each language, reach the driver.
     """
     rows = df.where(in_training(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").limit(in_all).collect()
-    each = min(per_language, max(1, in_all // max(1, len(counts))))
-    # by its hash a row falls into twice the sample or not, so no task meets more than that
-    place = F.xxhash64(id_col) / F.lit(float(1 << 64)) + 0.5
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], min(1.0, (2 * each + 50) / r["count"])).otherwise(share)
-    sample = rows.where(place <= share).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    # ids can repeat: the bound holds all the same
-    sample = sample.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("n") <= each)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    langs = rows.select("lang").distinct().limit(in_all + 1).count()
+    if langs > in_all:
+        raise ValueError(f"more than {in_all} languages: a sample of so many texts can't show each")
+    each = min(per_language, max(1, in_all // max(1, langs)))
+    # ranked by hashes alone, cut in the scan's tasks first; then the texts up to each language's last hash
+    first = W.partitionBy("lang").orderBy("h")
+    last = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+    chosen = rows.join(F.broadcast(last), "lang").where("h <= last").select("lang", "h", "text")
+    # repeated rows share a hash: the bound holds all the same
+    sample = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
     counted = sample.select("lang", "h", F.arrow_udf(_counted, "binary")("text").alias("v")).orderBy("lang", "h", "v").collect()
     counts = np.zeros((len(counted), BINS), "f4")
     for i, r in enumerate(counted):
@@ -226,8 +230,9 @@ def predict_language(df: DataFrame, model: Centroids, *, text_col: str = "text",
 
     A null text or one without letters is ``und``, score 0, rejected. Any other
     gets the nearest centroid's language, the first of equals, and is rejected
-    if that is too far away. Repeated rows are judged alike; an existing column
-    ``out_col`` is replaced. A narrow step; the model is of a fixed size bound.
+    if that is too far away. Very long texts are read whole, a few million
+    characters at a time. Repeated rows are judged alike; an empty table gives
+    an empty one; an existing column ``out_col`` is replaced. A narrow step; the model is of a fixed size bound.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 

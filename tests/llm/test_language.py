@@ -55,6 +55,94 @@ def test_bound_on_the_sample_holds(spark, documents):
     assert set(model.langs) == set(VOICES)
 
 
+@pytest.mark.parametrize("one_id", [1, 2, 3, 4, 6, 7])
+def test_every_language_with_rows_in_training_is_learned(spark, documents, one_id):
+    rows = [(one_id, f"die kinder spielen im garten nummer {i}", "de") for i in range(3000)] + [(100 + i, f"the children play out there again {i}", "en") for i in range(200)]
+    df = documents(rows + [(one_id, "siempre el mismo texto", "es")] * 900)
+    learned = {"en"} | ({"de", "es"} if zlib.crc32(str(one_id).encode()) % 5 else set())
+    assert set(G.fit_centroids(df, per_language=50).langs) == learned
+
+
+def test_too_many_languages_are_refused(spark, documents):
+    with pytest.raises(ValueError, match="languages"):
+        G.fit_centroids(documents([(i, "text", f"l{i}") for i in range(40)]), in_all=9)
+
+
+def plain_model(rows, per_language):
+    """Vector, floor and nearest centroid of one cluster a language, spelled out with dicts."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        low, runs = text.lower(), [""]
+        for c in low:
+            if c.isalpha():
+                runs[-1] += c
+            elif runs[-1]:
+                runs.append("")
+        gapped = "\x00".join(r for r in runs if r)
+        gapped = gapped + "\x00" if low and not low[-1].isalpha() and gapped else gapped
+        return gapped
+
+    def hashed(text):
+        """As the model's bins: one to three characters, gaps after runs included."""
+        c, out = [ord(x) if x != "\x00" else 0 for x in grams(text)], Counter()
+        odd = lambda n: (0x9E3779B1 * (2 * n + 1)) & 0xFFFFFFFF | 1
+        for n in range(3):
+            for i in range(len(c) - n):
+                x = c[i] * odd(1)
+                if n > 0:
+                    x = x * odd(2) + c[i + 1] * odd(3)
+                if n > 1:
+                    x = x * odd(4) + c[i + 2] * odd(5)
+                x &= 0xFFFFFFFF
+                out[(((x ^ (x >> 15)) * odd(6 + n)) & 0xFFFFFFFF) >> 19] += 1
+        return out
+
+    def unit(v):
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {k: x / norm for k, x in v.items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(k, 0.0) for k, x in a.items())
+
+    counts = [(lang, hashed(t)) for _, t, lang in rows]
+    idf = lambda k: math.log((1 + len(counts)) / (1 + sum(k in c for _, c in counts))) + 1
+    weight = {k: idf(k) for k in range(G.BINS)}
+    vector = lambda c: unit({k: math.log1p(x) * weight[k] for k, x in c.items()})
+    centre = {}
+    for lang in sorted({x for x, _ in counts}):
+        total = Counter()
+        own = [vector(c) for x, c in counts if x == lang]
+        for v in own:
+            total.update(v)
+        middle = unit(total)
+        full = [cosine(v, middle) / min(1.0, math.sqrt(len(v) / G.FULL_GRAMS)) for v in own]
+        centre[lang] = (middle, G.SLACK * float(np.quantile(full, G.QUANTILE)))
+
+    def predict(text):
+        c = hashed(text)
+        if not any(x.isalpha() for x in text):
+            return ("und", 0.0, True)
+        v = vector(c)
+        lang = max(sorted(centre), key=lambda x: cosine(v, centre[x][0]))
+        s = min(1.0, max(0.0, cosine(v, centre[lang][0])))
+        return (lang, s, s < centre[lang][1] * min(1.0, math.sqrt(len(v) / G.FULL_GRAMS)))
+
+    return predict
+
+
+def test_prediction_against_brute_force():
+    rows = corpus(60)
+    counts = np.stack(list(G.bin_counts([t for _, t, _ in rows])))
+    model = G.fit([lang for *_, lang in rows], counts, centroids=1)
+    plain = plain_model(rows, 60)
+    asked = [t for _, t, _ in corpus(30)] + ["Der Hund läuft", "zxqv kjwp", "", "12 34", "el perro, y el gato!", "щъыь", "the"]
+    for t, got in zip(asked, model.predict(asked), strict=True):
+        lang, score, rejected = plain(t)
+        assert (got["lang_pred"], got["rejected"]) == (lang, rejected) and abs(got["score"] - score) < 1e-4
+
+
 def test_counts_match_one_text_at_a_time():
     texts = ["Hello, wörld", "", "a", "ab\x00c", "İstanbul", "1 2", "über-über"]
     together = list(G.bin_counts(texts))

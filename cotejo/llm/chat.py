@@ -1,8 +1,9 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins with pointers that double their reach enumerate every
-root-to-leaf path; branches are ranked by score; each chosen path becomes one
-conversation in a template whose marks can't occur inside texts.
+Iterative self-joins with pointers that double their reach give each leaf its
+path's score and then the root-to-leaf paths of the best ranked ones; each
+chosen path becomes one conversation in a template whose marks can't occur
+inside texts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from cotejo.llm._common import cut
 
 OPEN, CLOSE = "<|turn|>", "<|end|>"
-#: Reach of a pointer after this many doublings exceeds any tree; what still points on is a cycle.
-MAX_DOUBLINGS = 40
 
 # Control strings of common chat templates start here (fixed values):
 # <|...|>, <s>, </s>, <<SYS>>, <</SYS>>, [INST], [/INST].
@@ -63,38 +62,54 @@ def masked_text(formatted: str, mask: list[tuple[int, int]]) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in mask)
 
 
-def branch_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): each leaf's ancestors and itself, ``up`` steps above it.
+def reach(nodes: DataFrame) -> list[DataFrame]:
+    """Pointers (tree, node, anc, total, n) of the nodes that lead to a root, by doubling reach.
 
-    nodes: tree, node, parent; a parent that is null or absent makes a root. Each
-    round joins the paths with the pointers and the pointers with themselves,
-    which doubles the reach: rounds are the logarithm of the greatest depth.
-    Nodes on a cycle lead to no root; they and what hangs on them are left out.
-    Rows with the same tree and node count as one, with the smallest parent.
+    nodes: tree, node, parent, score; a parent that is null or absent makes a
+    root. The k-th table points 2^k steps up (null: past the root); total and n
+    sum up the scores of the nodes from the node to below that ancestor, so the
+    last table holds them for whole paths. Each round joins the pointers with
+    themselves, and only nodes move, never paths; after as many rounds as the
+    largest tree's size asks for, what still points on hangs on a cycle and is
+    dropped from every table.
     """
-    own = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    own = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("n")).select("tree", "node", "n.*")
     a, b = own.alias("a"), own.select("tree", "node").alias("b")
     same = F.expr("a.tree <=> b.tree and a.parent = b.node")
-    ptr = cut(a.join(b, same, "left").select("a.tree", "a.node", F.col("b.node").alias("anc")))
-    inner = ptr.where("anc is not null").select("tree", F.col("anc").alias("node")).distinct()
-    leaves = ptr.alias("a").join(inner.alias("b"), F.expr("a.tree <=> b.tree and a.node = b.node"), "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
-    hop = F.expr("p.tree <=> q.tree and p.node = q.node")
-    for r in range(MAX_DOUBLINGS):
-        live = ptr.where("anc is not null")
-        if not live.take(1):
+    start = a.join(b, same, "left").select("a.tree", "a.node", F.col("b.node").alias("anc"), F.col("a.score").alias("total"), F.lit(1).cast("bigint").alias("n"))
+    levels = [cut(start)]
+    largest = levels[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(largest).bit_length()):
+        if not levels[-1].where("anc is not null").take(1):
             break
-        further = (
-            paths.alias("p")
-            .join(live.alias("q"), hop)
-            .select("p.tree", "p.leaf", F.col("q.anc").alias("node"), (F.col("p.up") + (1 << r)).alias("up"))
-        )
-        grown = paths.unionByName(further)
-        far = live.alias("p").join(live.alias("q"), F.expr("p.tree <=> q.tree and p.anc = q.node"), "left")
-        ptr = cut(far.select("p.tree", "p.node", F.col("q.anc").alias("anc")))
-        paths = cut(grown)
-    else:
-        raise ValueError("replies form a cycle")
+        up = F.expr("p.tree <=> q.tree and p.anc = q.node")
+        far = levels[-1].alias("p").join(levels[-1].alias("q"), up, "left")
+        sums = [(F.col(f"p.{c}") + F.coalesce(f"q.{c}", F.lit(0))).alias(c) for c in ("total", "n")]
+        levels.append(cut(far.select("p.tree", "p.node", F.col("q.anc").alias("anc"), *sums)))
+    hung = levels[-1].where("anc is not null").select("tree", "node")
+    if hung.take(1):
+        at = F.expr("p.tree <=> h.tree and p.node = h.node")
+        levels = [cut(x.alias("p").join(hung.alias("h"), at, "left_anti")) for x in levels]
+    return levels
+
+
+def branch_leaves(levels: list[DataFrame], keep: int | None) -> DataFrame:
+    """(tree, leaf, score, rank): the ``keep`` best leaves of each tree by the mean score of their path (None: all)."""
+    inner = levels[0].where("anc is not null").select("tree", F.col("anc").alias("node")).distinct()
+    at = F.expr("p.tree <=> i.tree and p.node = i.node")
+    leaves = levels[-1].alias("p").join(inner.alias("i"), at, "left_anti").select("p.tree", F.col("p.node").alias("leaf"), (F.col("p.total") / F.col("p.n")).alias("score"))
+    ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    return ranked if keep is None else ranked.where(F.col("rank") <= keep)
+
+
+def branch_paths(levels: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): the ancestors of each of ``leaves`` and itself, ``up`` steps above it."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up"))
+    hop = F.expr("p.tree <=> q.tree and p.node = q.node")
+    # longest pointers last: after k of them a path holds its lowest 2^k nodes
+    for k, level in enumerate(levels[:-1]):
+        further = paths.alias("p").join(level.where("anc is not null").alias("q"), hop)
+        paths = cut(paths.unionByName(further.select("p.tree", "p.leaf", F.col("q.anc").alias("node"), (F.col("p.up") + (1 << k)).alias("up"))))
     return paths
 
 
@@ -108,11 +123,14 @@ def format_branches(
 
     nodes: tree, node, parent, role, text, score. A branch's score is the mean
     score of its nodes (null: 0); ties go to the smaller leaf; ``keep`` branches
-    of each tree stay (None: all). Null roles and texts are empty.
-    Repeated (tree, node) rows count as one, the first
-    by (parent, role, text). Other columns are ignored; an empty table gives no rows.
+    of each tree stay (None: all). Branches are ranked by their leaves before
+    any path is written out. Null roles and texts are empty, very long texts
+    stay whole, a null tree is a tree. Repeated (tree, node) rows count as one,
+    the first by (parent, role, text); a row without a node is left out, and so
+    are nodes that lead to no root, being or hanging on a cycle. Other columns
+    are ignored; an empty table gives no rows.
     """
-    bare = nodes.groupBy("tree", "node").agg(
+    bare = nodes.where("node is not null").groupBy("tree", "node").agg(
         F.min(
             F.struct(
                 F.col("parent"),
@@ -123,22 +141,14 @@ def format_branches(
         ).alias("n")
     )
     bare = bare.select("tree", "node", "n.*")
-    paths = branch_paths(nodes.select("tree", "node", "parent"))
+    levels = reach(bare.select("tree", "node", "parent", "score"))
+    chosen = cut(branch_leaves(levels, keep))
+    paths = branch_paths(levels, chosen)
     here = F.expr("p.tree <=> n.tree and p.node = n.node")
-    if keep is not None:
-        scored = paths.alias("p").join(bare.select("tree", "node", "score").alias("n"), here)
-        ranked = scored.groupBy("p.tree", "p.leaf").agg(F.avg("n.score").alias("score"))
-        best = W.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        ranked = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-        chosen = F.expr("p.tree <=> r.tree and p.leaf = r.leaf")
-        paths = paths.alias("p").join(ranked.alias("r"), chosen).select("p.*", "r.rank", "r.score")
     turns = F.transform(F.sort_array(F.collect_list(F.struct("p.up", "n.role", "n.text")), asc=False), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    by = ["p.tree", "p.leaf"] + ([] if keep is None else ["p.rank", F.col("p.score").alias("score")])
-    whole = paths.alias("p").join(bare.alias("n"), here).groupBy(*by).agg(turns.alias("turns"), F.avg("n.score").alias("mean"))
-    if keep is None:
-        whole = whole.withColumn("score", F.col("mean")).withColumn(
-            "rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
-        )
+    whole = paths.alias("p").join(bare.alias("n"), here).groupBy("p.tree", "p.leaf").agg(turns.alias("turns"))
+    mine = F.expr("w.tree <=> c.tree and w.leaf = c.leaf")
+    whole = whole.alias("w").join(chosen.alias("c"), mine).select("w.*", "c.rank", "c.score")
     roles = frozenset(loss_roles)
 
     @F.arrow_udf("struct<formatted:string,loss_spans:array<struct<start:bigint,end:bigint>>>")

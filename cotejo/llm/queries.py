@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm import chat, decontamination, fingerprints, language, mixing, near_duplicates, pii, sharding, substring_dedup, url_filter
-from cotejo.llm._common import table
+from cotejo.llm._common import spread, table
 
 SHARDS = 8
 URL_RULES = [
@@ -37,7 +37,7 @@ def op2_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_pii(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = pii.span_list(F.filter("pii", lambda s: s["base"]))
     n = {f"n_{k}": pii.count_of(F.col("pii"), k) for k in pii.KINDS}
     return found.select(
@@ -46,24 +46,24 @@ def op3_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicate_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    found = substring_dedup.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(
         "doc_id", F.col("dedup.n_words").alias("n_words"), F.col("dedup.n_removed").alias("n_removed"), F.sha2("dedup.kept", 256).alias("kept_sha256")
     )
 
 
 def op6_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     found = language.predict_language(docs.select("doc_id", "text"), language.fit_centroids(docs))
     return found.select("doc_id", (~language.in_training(F.col("doc_id"))).alias("held_out"), "language.*")
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     n_hit = decontamination.hit_words(F.col("contamination.hits"))
     return found.select(

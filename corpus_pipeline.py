@@ -17,21 +17,31 @@ from cotejo.llm.queries import MIX_POWER, SHARDS
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what lies too far from every centroid, and texts that are null or without letters."""
+    """Drops what lies too far from every centroid, and texts that are null, empty or without letters.
+
+    Very long texts are read whole; repeated rows and ties are judged alike; an
+    empty table, or one without labelled rows, keeps nothing. Columns of any name pass through.
+    """
     model = language.fit_centroids(docs)
     found = language.predict_language(docs, model, out_col="__language")
     return found.where(~F.col("__language.rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document with the smallest id."""
-    classes = near_duplicates.near_duplicate_classes(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each class of near duplicates, repeated rows and null ids included.
+
+    The smallest id stays, nulls last; texts without words (none reach this
+    stage) are in no class. Very long texts are compared whole; an empty table stays empty.
+    """
+    return near_duplicates.keep_one_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
+    """Drops documents in which a benchmark window occurs.
+
+    A null or empty text holds none and stays; very long texts are searched
+    whole; repeated rows are judged alike; an empty table or benchmark drops nothing.
+    """
     found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"), out_col="__contamination")
     return found.where(F.size("__contamination.hits") == 0).select(*docs.columns)
 
@@ -45,7 +55,11 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mix: files by ranges of positions, rows sorted inside."""
+    """Every document, in the order of the mix: files by ranges of positions, rows sorted inside.
+
+    Null sources are a source, null and repeated ids keep all their rows, side
+    by side; texts are not looked at; an empty table stays empty.
+    """
     places = _places(docs).select("__id", F.col("position").alias("__position"))
     placed = docs.join(places, docs["doc_id"].eqNullSafe(places["__id"]))
     return placed.repartitionByRange("__position").sortWithinPartitions("__position").select(*[docs[c] for c in docs.columns])
@@ -58,7 +72,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out before it) and slot (gapless in the shard, by position). Readers deal
     files out by size, so the order is in these columns; the mix depends on the
     rows' ids and sources only, and gives the positions that mix() sorted by.
-    Rows with one id share a place.
+    Rows with one id, and those with none, share a place and a shard; columns
+    with the added names are replaced; an empty table stays empty.
     """
     places = sharding.number_slots(sharding.assign_shards(_places(docs), "__id", SHARDS), "shard", ["position"])
     added = ["shard", "position", "within_target", "slot"]

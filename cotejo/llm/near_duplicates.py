@@ -405,8 +405,10 @@ def near_duplicate_classes(
     shingle: int = SHINGLE,
     percent: int = LINK,
 ) -> DataFrame:
-    """``id_col``, n_shingles and component_id of every row.
+    """``id_col``, n_shingles, component_id, class and text_hash of every row.
 
+    class names the component by one of its sets (null: no shingles); text_hash
+    is the text's xxhash64.
     component_id is the smallest id that links reach, the row's own included
     (links: Jaccard similarity of the shingle sets at least ``percent`` of 100).
     A row with a null, empty or wordless text has no shingles and no links. A
@@ -498,6 +500,31 @@ def near_duplicate_classes(
 
     own = _with_roots(classes.select("set_id", "least"), roots, "set_id", "root")
     names = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(names, "root").select("set_id", "component_id")
+    named = own.join(names, "root").select("set_id", "root", "component_id")
     out = sets.join(named, "set_id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("root").alias("class"), F.col("crc").alias("text_hash"))
+
+
+def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = LINK) -> DataFrame:
+    """The rows of ``df`` less near duplicates: of each class one row stays.
+
+    It is the row with the smallest id, nulls last, then the smallest text hash;
+    of rows that agree in both any one. Rows whose text is null, empty or without
+    words are in no class and all stay, and so does a clean text that shares an
+    id with a removed one. All columns pass through; an empty table stays empty.
+
+    Two anti and semi joins on the few columns of removed and repeated rows: a
+    class is never gathered, only its smallest row, which partial aggregates find.
+    """
+    found = near_duplicate_classes(df, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("class is not null")
+    row = found.groupBy("class", F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("rows"))
+    row = cut(row.withColumn("order", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))))
+    least = row.groupBy("class").agg(F.min("order").alias("least"))
+    judged = row.join(least, "class").select("__id", "__hash", (F.col("order") == F.col("least")).alias("first"), (F.col("rows") > 1).alias("repeated"))
+    away = judged.where("not first or repeated").select("__id", "__hash")
+    again = judged.where("first and repeated").select("__id", "__hash")
+    docs = df.withColumn("__own", F.xxhash64(text_col))
+    same = docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (docs["__own"] == F.col("__hash"))
+    once = docs.join(away, same, "left_anti").drop("__own")
+    one = docs.join(again, same, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
+    return once.unionByName(one)

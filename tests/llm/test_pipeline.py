@@ -65,6 +65,26 @@ def test_the_mix_is_in_the_rows_of_a_run(spark, kept):
         assert [r.slot for r in own] == list(range(len(own)))
 
 
+def test_one_row_of_each_class_stays(spark, documents):
+    prose = [" ".join(f"w{k}x{(i * 7) % 60}" for i in range(60)) for k in range(4)]
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[0]), (None, prose[0]), (None, prose[0])]
+    rows += [(2, prose[1]), (None, prose[2]), (None, prose[2]), (7, prose[3] + " end"), (6, prose[3]), (9, None), (9, None), (8, "")]
+    got = sorted(map(str, (tuple(r)[:2] for r in P.drop_near_duplicates(spark, documents(rows), SF).collect())))
+    want = [(1, prose[0]), (2, prose[1]), (None, prose[2]), (6, prose[3]), (9, None), (9, None), (8, "")]
+    assert got == sorted(map(str, want))
+    assert P.drop_near_duplicates(spark, documents(rows).limit(0), SF).count() == 0
+
+
+def test_no_two_rows_left_are_links(spark, kept):
+    """Brute force over what the stage kept: no pair of similarity 0.8, and every class it saw has one row."""
+    sets = {}
+    for r in kept[1][2].select("doc_id", "text").collect():
+        w = r.text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    ids = sorted(sets)
+    assert not [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
 def test_odd_rows_pass_through_every_stage(spark, documents, tmp_path):
     prose = "the and of with in that was on by for as are to his from it an were " * 6
     rows = [(1, prose), (1, prose), (2, None), (None, prose + "end of it all for now"), (4, ""), (5, prose + "x " * 20_000, None, None)]
@@ -74,6 +94,6 @@ def test_odd_rows_pass_through_every_stage(spark, documents, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         empty = stage(spark, documents(rows).limit(0), SF)
         assert empty.count() == 0
-    assert {r.doc_id for r in docs.collect()} <= {1, None, 5}
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "5", "None"]
     placed = P.mix(spark, documents(rows), SF)
     assert sorted(map(str, (r.doc_id for r in placed.collect()))) == sorted(str(r[0]) for r in rows)

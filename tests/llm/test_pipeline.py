@@ -94,6 +94,7 @@ def test_odd_rows_pass_through_every_stage(spark, documents, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         empty = stage(spark, documents(rows).limit(0), SF)
         assert empty.count() == 0
-    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "5", "None"]
+    # 2 and 4 hold no letters, 5 is mostly of one letter: no language
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "None"]
     placed = P.mix(spark, documents(rows), SF)
     assert sorted(map(str, (r.doc_id for r in placed.collect()))) == sorted(str(r[0]) for r in rows)

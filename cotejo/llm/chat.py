@@ -62,42 +62,46 @@ def masked_text(formatted: str, mask: list[tuple[int, int]]) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in mask)
 
 
-def reach(nodes: DataFrame) -> list[DataFrame]:
-    """Pointers (tree, node, anc, total, n) of the nodes that lead to a root, by doubling reach.
+def reach(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers of the nodes that lead to a root, by doubling reach, and the sums of their whole paths.
 
     nodes: tree, node, parent, score; a parent that is null or absent makes a
-    root. The k-th table points 2^k steps up (null: past the root); total and n
-    sum up the scores of the nodes from the node to below that ancestor, so the
-    last table holds them for whole paths. Each round joins the pointers with
-    themselves, and only nodes move, never paths; after as many rounds as the
-    largest tree's size asks for, what still points on hangs on a cycle and is
-    dropped from every table.
+    root. Of the pointers (tree, node, anc, total, n) the k-th table holds those
+    that are still below the root, 2^k steps up; total and n sum up the scores
+    of the nodes from the node to below that ancestor. The sums table (tree,
+    node, total, n) holds each node's path to its root, both included.
+
+    Each round joins the pointers that still are below the root with all, so
+    rounds are the logarithm of the greatest depth and only deep nodes stay in.
+    Nodes move, never paths. After as many rounds as the largest tree's size
+    asks for, what is left hangs on a cycle and is dropped from every table.
     """
     own = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("n")).select("tree", "node", "n.*")
     a, b = own.alias("a"), own.select("tree", "node").alias("b")
     same = F.expr("a.tree <=> b.tree and a.parent = b.node")
-    start = a.join(b, same, "left").select("a.tree", "a.node", F.col("b.node").alias("anc"), F.col("a.score").alias("total"), F.lit(1).cast("bigint").alias("n"))
-    levels = [cut(start)]
-    largest = levels[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    start = cut(a.join(b, same, "left").select("a.tree", "a.node", F.col("b.node").alias("anc"), F.col("a.score").alias("total"), F.lit(1).cast("bigint").alias("n")))
+    largest = start.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    levels, done = [start.where("anc is not null")], start.where("anc is null")
+    up = F.expr("p.tree <=> q.tree and p.anc = q.node")
+    sums = [(F.col(f"p.{c}") + F.col(f"q.{c}")).alias(c) for c in ("total", "n")]
     for _ in range(int(largest).bit_length()):
-        if not levels[-1].where("anc is not null").take(1):
+        if not levels[-1].take(1):
             break
-        up = F.expr("p.tree <=> q.tree and p.anc = q.node")
-        far = levels[-1].alias("p").join(levels[-1].alias("q"), up, "left")
-        sums = [(F.col(f"p.{c}") + F.coalesce(f"q.{c}", F.lit(0))).alias(c) for c in ("total", "n")]
-        levels.append(cut(far.select("p.tree", "p.node", F.col("q.anc").alias("anc"), *sums)))
-    hung = levels[-1].where("anc is not null").select("tree", "node")
+        far = cut(levels[-1].alias("p").join(done.unionByName(levels[-1]).alias("q"), up).select("p.tree", "p.node", F.col("q.anc").alias("anc"), *sums))
+        done = done.unionByName(far.where("anc is null"))
+        levels.append(far.where("anc is not null"))
+    hung = levels[-1].select("tree", "node")
     if hung.take(1):
         at = F.expr("p.tree <=> h.tree and p.node = h.node")
         levels = [cut(x.alias("p").join(hung.alias("h"), at, "left_anti")) for x in levels]
-    return levels
+    return levels, done.drop("anc")
 
 
-def branch_leaves(levels: list[DataFrame], keep: int | None) -> DataFrame:
+def branch_leaves(levels: list[DataFrame], sums: DataFrame, keep: int | None) -> DataFrame:
     """(tree, leaf, score, rank): the ``keep`` best leaves of each tree by the mean score of their path (None: all)."""
-    inner = levels[0].where("anc is not null").select("tree", F.col("anc").alias("node")).distinct()
+    inner = levels[0].select("tree", F.col("anc").alias("node")).distinct()
     at = F.expr("p.tree <=> i.tree and p.node = i.node")
-    leaves = levels[-1].alias("p").join(inner.alias("i"), at, "left_anti").select("p.tree", F.col("p.node").alias("leaf"), (F.col("p.total") / F.col("p.n")).alias("score"))
+    leaves = sums.alias("p").join(inner.alias("i"), at, "left_anti").select("p.tree", F.col("p.node").alias("leaf"), (F.col("p.total") / F.col("p.n")).alias("score"))
     ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
@@ -106,9 +110,9 @@ def branch_paths(levels: list[DataFrame], leaves: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): the ancestors of each of ``leaves`` and itself, ``up`` steps above it."""
     paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up"))
     hop = F.expr("p.tree <=> q.tree and p.node = q.node")
-    # longest pointers last: after k of them a path holds its lowest 2^k nodes
+    # after k tables a path holds its lowest 2^k nodes
     for k, level in enumerate(levels[:-1]):
-        further = paths.alias("p").join(level.where("anc is not null").alias("q"), hop)
+        further = paths.alias("p").join(level.alias("q"), hop)
         paths = cut(paths.unionByName(further.select("p.tree", "p.leaf", F.col("q.anc").alias("node"), (F.col("p.up") + (1 << k)).alias("up"))))
     return paths
 
@@ -141,8 +145,8 @@ def format_branches(
         ).alias("n")
     )
     bare = bare.select("tree", "node", "n.*")
-    levels = reach(bare.select("tree", "node", "parent", "score"))
-    chosen = cut(branch_leaves(levels, keep))
+    levels, sums = reach(bare.select("tree", "node", "parent", "score"))
+    chosen = cut(branch_leaves(levels, sums, keep))
     paths = branch_paths(levels, chosen)
     here = F.expr("p.tree <=> n.tree and p.node = n.node")
     turns = F.transform(F.sort_array(F.collect_list(F.struct("p.up", "n.role", "n.text")), asc=False), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))

@@ -31,8 +31,8 @@ def test_paths_of_a_tree_and_ranks(spark):
     #      1 -> 2 -> 4, 1 -> 3 -> (5, 6); a second tree is one node; a missing parent makes a root
     rows = [(1, 1, None, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 4, 2, "user", "d", 9.0), (1, 3, 1, "assistant", "c", 5.0), (1, 5, 3, "user", "e", 1.0), (1, 6, 3, "user", "f", None), (2, 1, None, None, None, None), (3, 9, 8, "user", "x", 1.0)]
     paths = {}
-    levels = chat.reach(tree(spark, rows))
-    for r in chat.branch_paths(levels, chat.branch_leaves(levels, None)).collect():
+    levels, sums = chat.reach(tree(spark, rows))
+    for r in chat.branch_paths(levels, chat.branch_leaves(levels, sums, None)).collect():
         paths.setdefault((r.tree, r.leaf), []).append((r.up, r.node))
     assert {k: [n for _, n in sorted(v)] for k, v in paths.items()} == {(1, 4): [4, 2, 1], (1, 5): [5, 3, 1], (1, 6): [6, 3, 1], (2, 1): [1], (3, 9): [9]}
     every = {(r.tree, r.leaf): (r["rank"], round(r.score, 3), [t for _, t in chat.parse_turns(r.formatted)]) for r in chat.format_branches(tree(spark, rows), keep=None).collect()}

@@ -1,7 +1,8 @@
 """URL filter rules in a sorted digest array.
 
-The rules' 64-bit xxhash keys stand sorted in a memory-mapped array, beside
-their full strings. A batch of urls turns into candidate strings (every host
+The rules' 64-bit xxhash keys stand sorted in an array, beside their full
+strings, in one file that the driver builds and Spark hands to every executor,
+whose workers all map it: one copy in a machine's memory. A batch of urls turns into candidate strings (every host
 suffix with every path prefix of a length that some rule has); their digests
 are probed by one vectorised binary search, and each digest found is confirmed
 against the stored string, so a digest collision can't decide.
@@ -9,18 +10,23 @@ against the stored string, so a digest collision can't decide.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm._common import ascii_lower
 
-#: Bytes of rule strings that are broadcast; a larger list is joined instead.
+#: Bytes of rule strings that go into the mapped file; a larger list is joined instead.
 MAX_BYTES = 64 << 20
 RESULT = "struct<rule:string,verdict:string>"
 
@@ -35,33 +41,53 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _keyed(rules: Iterable[tuple[str, bool]]) -> list[tuple[int, bytes, bool]]:
+    """(digest, string, blocked) in order of digest; of a repeated rule, a block wins."""
+    kept: dict[bytes, bool] = {}
+    for rule, blocked in rules:
+        key = rule.encode()
+        kept[key] = kept.get(key, False) or blocked
+    return sorted((xxhash.xxh64_intdigest(k), k, b) for k, b in kept.items())
+
+
+def packed(rules: Iterable[tuple[str, bool]]) -> bytes:
+    """The file's bytes: numbers of rules, of path lengths and of the longest host's bytes; path lengths; digests, ends of the strings, blocked flags, strings."""
+    keyed = _keyed(rules)
+    ends = np.cumsum([0, *(len(k) for _, k, _ in keyed)])
+    hosts = [len(k.split(b"/", 1)[0]) for _, k, _ in keyed]
+    lengths = sorted({len(k) - h for (_, k, _), h in zip(keyed, hosts, strict=True)})
+    head = np.array([len(keyed), len(lengths), max(hosts, default=0), *lengths], "<u8")
+    parts = (head, np.array([d for d, *_ in keyed], "<u8"), ends.astype("<u8"), np.array([b for *_, b in keyed], "u1"))
+    return b"".join([*(p.tobytes() for p in parts), *(k for _, k, _ in keyed)])
+
+
 class DigestArray:
-    """Sorted digests, string pool and verdicts of rules, memory-mapped."""
-
-    def __init__(self, rules: Iterable[tuple[str, bool]]):
-        """rules: (host/path, blocked); of a repeated rule, a block wins."""
-        kept: dict[bytes, bool] = {}
-        for rule, blocked in rules:
-            key = rule.encode()
-            kept[key] = kept.get(key, False) or blocked
-        keyed = sorted((xxhash.xxh64_intdigest(k), k, b) for k, b in kept.items())
-        self.digests = self._mapped(np.array([x[0] for x in keyed], "u8"))
-        self.pool = self._mapped(np.frombuffer(b"".join(x[1] for x in keyed), "u1"))
-        self.ends = np.cumsum([0, *(len(x[1]) for x in keyed)])
-        self.blocked = np.array([x[2] for x in keyed], bool)
-        self.path_lengths = sorted({len(k) - k.find(b"/") for k in kept if b"/" in k} | {0 for k in kept if b"/" not in k})
-
-    @staticmethod
-    def _mapped(a: np.ndarray) -> np.ndarray:
-        if not a.size:
-            return a
-        with tempfile.TemporaryFile() as f:  # gone from the folder as soon as it is mapped
-            a.tofile(f)
-            f.flush()
-            return np.memmap(f, a.dtype, "r", shape=a.shape)
+    """Sorted digests, string pool and verdicts of rules over a mapped file, or any buffer of its bytes."""
+
+    def __init__(self, data: np.ndarray):
+        """data: the bytes of ``packed`` as an array, mapped or not; nothing is copied but the path lengths."""
+        n, lengths, self.longest_host = (int(x) for x in data[:24].view("<u8"))
+        at = 24 + 8 * lengths
+        self.path_lengths = data[24:at].view("<u8").tolist()
+        self.digests = data[at : at + 8 * n].view("<u8")
+        self.ends = data[at + 8 * n : at + 8 + 16 * n].view("<u8")
+        self.blocked = data[at + 8 + 16 * n : at + 8 + 17 * n]
+        self.pool = data[at + 8 + 17 * n :]
 
     def rule(self, i: int) -> bytes:
-        return self.pool[self.ends[i] : self.ends[i + 1]].tobytes()
+        return self.pool[int(self.ends[i]) : int(self.ends[i + 1])].tobytes()
+
+    def candidates(self, host: bytes, path: bytes) -> Iterator[bytes]:
+        """Host suffixes at label borders, as far as a rule's host can reach, with every path prefix of a rule's path length."""
+        heads = [path[:n] for n in self.path_lengths if n <= len(path)]
+        at = 0 if len(host) <= self.longest_host else host.find(b".", len(host) - self.longest_host - 1) + 1
+        if at or len(host) <= self.longest_host:
+            while True:
+                for head in heads:
+                    yield host[at:] + head
+                at = host.find(b".", at) + 1
+                if not at:
+                    break
 
     def match(self, hosts: list[bytes], paths: list[bytes]) -> list[tuple[bytes, bool] | None]:
         """The longest fitting rule of each url and whether it blocks."""
@@ -71,15 +97,8 @@ class DigestArray:
         strings: list[bytes] = []
         owner: list[int] = []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            heads = [path[:n] for n in self.path_lengths if n <= len(path)]
-            at = 0
-            while True:
-                for head in heads:
-                    strings.append(host[at:] + head)
-                    owner.append(i)
-                at = host.find(b".", at) + 1
-                if not at:
-                    break
+            strings += self.candidates(host, path)
+            owner += [i] * (len(strings) - len(owner))
         keys = np.fromiter(map(xxhash.xxh64_intdigest, strings), "u8", len(strings))
         low = np.searchsorted(self.digests, keys, "left")
         high = np.searchsorted(self.digests, keys, "right")
@@ -91,6 +110,28 @@ class DigestArray:
         return best
 
 
+#: The array that this worker has mapped last, by file name.
+_mapped: dict[str, DigestArray] = {}
+
+
+def _array(name: str) -> DigestArray:
+    if name not in _mapped:
+        _mapped.clear()
+        _mapped[name] = DigestArray(np.memmap(SparkFiles.get(name), "u1", "r"))
+    return _mapped[name]
+
+
+def _handed_out(spark, rules: list[tuple[str, bool]]) -> str:
+    """Name of the file with the packed rules, which Spark's file server brings to every executor that asks."""
+    folder = tempfile.mkdtemp(prefix="url-rules-")  # the driver's own: the source that its file server reads
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"url-rules-{uuid.uuid4().hex}"
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(packed(rules))
+    spark.sparkContext.addFile(os.path.join(folder, name))
+    return name
+
+
 def judge_urls(
     df: DataFrame,
     rules: Iterable[tuple[str, str]] | DataFrame,
@@ -109,11 +150,12 @@ def judge_urls(
     subdomains if the path starts with the rule's path; the longest (in
     characters) wins, and of a rule given with both verdicts the block.
     A url without a fitting rule, null and empty ones too, gets ``default``.
-    Repeated rows are judged alike; existing output columns are replaced.
+    Repeated rows are judged alike; very long urls cost no more than the longest
+    rule asks for; an empty table gives an empty one, an empty list the default
+    everywhere; existing output columns are replaced.
 
-    A list of rules up to ``max_bytes`` (measured) is broadcast to the workers'
-    digest arrays: no shuffle. A larger one is joined: each row's candidate
-    strings meet the rules by equality.
+    A list of rules up to ``max_bytes`` (measured) is mapped by the workers: no
+    shuffle. A larger one is joined: each row's candidate strings meet the rules by equality.
     """
     spark = df.sparkSession
     if isinstance(rules, DataFrame):
@@ -125,11 +167,11 @@ def judge_urls(
     if sum(len(r) for r, _ in held) > max_bytes:
         rows = spark.createDataFrame([(v, r) for r, v in ((r, "block" if b else "allow") for r, b in held)], "verdict string, rule string")
         return _by_join(df, rows, host_col, path_col, rule_col, verdict_col, default)
-    sent = spark.sparkContext.broadcast(held)
+    name = _handed_out(spark, held)
 
     @F.arrow_udf(RESULT)
     def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        array = DigestArray(sent.value)
+        array = _array(name)
         for hosts, paths in batches:
             h, p = ([x or b"" for x in a.cast(pa.binary()).to_pylist()] for a in (hosts, paths))
             found = array.match(h, p)

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from cotejo.llm import url_filter as U
@@ -38,9 +39,35 @@ def test_verdicts_against_brute_force_on_both_ways(spark):
     assert judged(spark, URLS, table=True, max_bytes=1) == expected
 
 
+def array(rules):
+    return U.DigestArray(np.frombuffer(U.packed(rules), "u1"))
+
+
+def test_long_hosts_and_paths_cost_what_the_rules_ask_for(spark):
+    a = array([("b.example.com/x/", True), ("com", False), ("net/", True)])
+    host = b"a." * 500_000 + b"b.example.com"
+    assert len(list(a.candidates(host, b"/x/" + b"y" * 1_000_000))) <= 3 * 13
+    assert a.match([host, b"x" * 1_000_000 + b".net", b"x" * 1_000_000], [b"/x/" + b"y" * 1_000_000, b"/", b"/"]) == [(b"b.example.com/x/", True), (b"net/", True), None]
+    url = "http://" + "a." * 200_000 + "example.com/en/" + "z" * 200_000
+    assert judged(spark, [url])[0][2:] == ("example.com/en/", "block")
+
+
+def test_many_rules_in_little_memory():
+    import tracemalloc
+
+    rules = [(f"host{i}.example{i % 1000}.org/some/path{i}/", i % 2 == 0) for i in range(100_000)]
+    data = U.packed(rules)
+    assert len(data) < sum(len(r) for r, _ in rules) + 17 * len(rules) + 200
+    tracemalloc.start()
+    a = U.DigestArray(np.frombuffer(data, "u1"))
+    assert tracemalloc.get_traced_memory()[1] < 100_000
+    tracemalloc.stop()
+    assert a.match([b"x.host7.example7.org"], [b"/some/path7/z"]) == [(b"host7.example7.org/some/path7/", False)]
+
+
 def test_digest_collisions_are_told_apart_by_the_strings(monkeypatch):
     monkeypatch.setattr(U.xxhash, "xxh64_intdigest", lambda b: len(b) % 2)
-    a = U.DigestArray([(r, v == "block") for v, r in URL_RULES])
+    a = array([(r, v == "block") for v, r in URL_RULES])
     for u in URLS:
         host, path, rule, verdict = brute(u)
         found = a.match([host.encode()], [path.encode()])[0]

@@ -52,6 +52,33 @@ def test_against_brute_force(spark, documents, block):
     assert result(documents(docs, contamination=1, hits=2, items=3), b, block_bytes=block) == brute(docs, items)
 
 
+def test_tables_stay_small_and_are_built_once():
+    import pickle
+    import time
+
+    rnd = random.Random(2)
+    vocab = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9))) for _ in range(20_000)]
+    items = [(str(i), " ".join(rnd.choices(vocab, k=500)).encode()) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    wm = D.WuManber(items)
+    sent = pickle.dumps(wm)
+    assert len(sent) < 12 * size
+    there = pickle.loads(sent)
+    doc = b" ".join([rnd.choice(vocab).encode() for _ in range(300)] + items[7][1].split()[20:31] + [b"end"])
+    assert there.search(doc) == wm.search(doc) == (312, [(300, 311)], ["7"])
+    t = time.process_time()
+    for _ in range(200):
+        there.search(doc)
+    assert time.process_time() - t < 2
+
+
+def test_shifts_skip_impossible_positions():
+    wm = D.WuManber([("a", b"one two three four five six seven eight nine ten eleven")])
+    (s,) = wm.searches
+    of = dict(zip(s.key.tolist(), s.shift.tolist(), strict=True))
+    assert [of[i * s.words + i + 1] for i in range(10)] == [8, 7, 6, 5, 4, 3, 2, 1, 0, 0] and s.skip == 9
+
+
 def test_nulls_repeats_long_texts_and_empty_tables(spark, documents):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, None), (2, ""), (3, item), (3, item), (4, "zz " * 50_000 + item), (5, item.replace(" ", "  \n"))]

@@ -23,6 +23,8 @@ BINS = 1 << 13
 #: Labelled texts that the model is fitted on: at most so many of each language,
 #: and of all together. This bound is the model's only one; prediction reads all.
 PER_LANGUAGE, IN_ALL = 300, 2400
+#: Parts of a language in which the smallest hashes are looked for first.
+PARTS = 64
 CENTROIDS = 4
 #: A text is rejected below this share of its centroid's lowest sample cosines.
 SLACK = 0.8
@@ -211,9 +213,13 @@ def fit_centroids(
     if langs > in_all:
         raise ValueError(f"more than {in_all} languages: a sample of so many texts can't show each")
     each = min(per_language, max(1, in_all // max(1, langs)))
-    # ranked by hashes alone, cut in the scan's tasks first; then the texts up to each language's last hash
+    # ranked by hashes alone, cut in the scan's tasks first, then in parts of each language, so that
+    # no task meets more than PARTS times the bound; then the texts up to each language's last hash
     first = W.partitionBy("lang").orderBy("h")
-    last = rows.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).groupBy("lang").agg(F.max("h").alias("last"))
+    least = rows.select("lang", "h", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(PARTS)).alias("part"))
+    for among in (W.partitionBy("lang", "part").orderBy("h"), first):
+        least = least.withColumn("n", F.row_number().over(among)).where(F.col("n") <= each)
+    last = least.groupBy("lang").agg(F.max("h").alias("last"))
     chosen = rows.join(F.broadcast(last), "lang").where("h <= last").select("lang", "h", "text")
     # repeated rows share a hash: the bound holds all the same
     sample = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)

@@ -77,10 +77,10 @@ def main(argv: list[str] | None = None) -> int:
         found.show(1000, truncate=False)
         return exit_code(found)
     elif a.command == "segment":
-        from cotejo.operators.clean import prepare_lines
+        from cotejo.operators.clean import prepare_documents
         from cotejo.operators.segment import segment_documents
 
-        segment_documents(prepare_lines(spark.read.parquet(a.pages)), most=settings.fragment_words, least=settings.fragment_min_words).write.mode("overwrite").parquet(a.out)
+        segment_documents(prepare_documents(spark.read.parquet(a.pages)), most=settings.fragment_words, least=settings.fragment_min_words).write.mode("overwrite").parquet(a.out)
     return 0
 
 

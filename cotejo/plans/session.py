@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cotejo.config import SESSION_AUTHORITY_SCALE, Settings
 from cotejo.functions.text import ascii_tokens
 from cotejo.operators.classify import pages_label
-from cotejo.operators.clean import prepare_lines
+from cotejo.operators.clean import prepare_documents
 from cotejo.operators.retrieve import combine, hashed_embedding, retrieve_topk
 from cotejo.operators.segment import segment_documents
 
@@ -46,8 +46,8 @@ class Session:
             raise SessionError(f"authority must be one of {SESSION_AUTHORITY_SCALE}")
         if self.fragments is not None:
             pages = pages.join(self.fragments.select(F.col("doc_id").alias("__have")).distinct(), F.col("doc_id").cast("string") == F.col("__have"), "left_anti")
-        lines = prepare_lines(pages)
-        found = segment_documents(lines, most=self.settings.fragment_words, least=self.settings.fragment_min_words)
+        docs = prepare_documents(pages)
+        found = segment_documents(docs, most=self.settings.fragment_words, least=self.settings.fragment_min_words)
         found = found.withColumns(
             {
                 "fragment_id": F.xxhash64("doc_id", "orden"),

@@ -18,10 +18,11 @@ def body(n):
 
 def test_headers_footers_and_page_numbers(spark):
     texts = [f"DIÓCESIS\n{body(n)}\nPágina {n} de 4" for n in range(1, 4)] + ["DIÓCESIS\nÚltima.\n4"]
-    kept = CL.drop_headers_footers(CL.page_lines(pages(spark, texts)))
+    lines = lambda ts: CL.drop_headers_footers(CL.page_lines(pages(spark, ts))).select("page", F.explode("lines").alias("line"))
+    kept = lines(texts)
     assert kept.where("line like 'DI%' or line like 'P%' or line = '4'").count() == 0
     assert kept.where("page = 4").first().line == "Última."
-    single = CL.drop_headers_footers(CL.page_lines(pages(spark, [f"DIÓCESIS\n{body(1)}"])))
+    single = lines([f"DIÓCESIS\n{body(1)}"])
     assert single.where("line = 'DIÓCESIS'").count() == 1
 
 
@@ -33,10 +34,20 @@ def test_headers_footers_and_page_numbers(spark):
         (["de 1-", "a 6"], ["de 1-", "a 6"]),
         (["así-", "Pero no"], ["así-", "Pero no"]),
         (["con-", "sti-", "tución"], ["constitución"]),
+        (["lo económico-social y economicosocial, económicosocial", "es económico-", "social"], ["lo económico-social y economicosocial, económicosocial", "es económicosocial"]),
+        ([], []),
     ],
 )
-def test_hyphens(lines, want):
-    assert [t for _, t in CL.join_hyphens([(1, t) for t in lines])] == want
+def test_hyphens(spark, lines, want):
+    docs = spark.createDataFrame([("d", [(1 + i, t) for i, t in enumerate(lines)])], "doc_id string, lines array<struct<page:int,line:string>>")
+    assert [x.line for x in CL.merge_hyphens(docs).first().lines] == want
+
+
+def test_a_joined_line_has_its_first_page(spark):
+    docs = CL.prepare_documents(pages(spark, ["uno de matri-", "monio y otro", ""]))
+    assert [tuple(x) for x in docs.first().lines] == [(1, "uno de matrimonio y otro")]
+    assert [tuple(r) for r in CL.as_lines(docs).collect()] == [("d", 1, 0, "uno de matrimonio y otro")]
+    assert CL.prepare_documents(pages(spark, ["", None])).count() == 0
 
 
 def test_numbering_gaps(spark):
@@ -50,11 +61,20 @@ def test_next_number(spark):
     assert [r.siguiente for r in CL.next_number(df).orderBy("line_no").collect()] == [3, 4, 4, None]
 
 
-def seg(*texts, **kw):
-    return SG.segment_lines([(1, t) for t in texts], **kw)
+@pytest.fixture
+def seg(spark):
+    """Lines of page 1, or (page, line) pairs, to (scheme, fragments, warnings)."""
+
+    def run(*texts, **kw):
+        lines = [(1, t) if isinstance(t, str) else t for t in texts]
+        docs = spark.createDataFrame([("d", lines)], "doc_id string, lines array<struct<page:int,line:string>>")
+        rows = [r.asDict() for r in SG.segment_documents(docs, **kw).orderBy("orden").collect()]
+        return (rows[0]["esquema"], rows, rows[0]["advertencias"]) if rows else (None, [], [])
 
+    return run
 
-def test_articles_headings_and_context():
+
+def test_articles_headings_and_context(seg):
     scheme, found, _ = seg(
         "DECRETO GENERAL", "TÍTULO I", "DE LOS FIELES", "Artículo 1.- Todos los fieles tienen derechos.", "según el artículo 2 de este decreto se aplica.", "CAPÍTULO I – DEBERES", "Art. 2º Los deberes son varios.",
         "DE LA PARROQUIA", "Artículo TERCERO. La parroquia.", "TÍTULO II", "Artículo 4 bis. Otro.", least=1,
@@ -66,54 +86,103 @@ def test_articles_headings_and_context():
     assert found[2]["contexto"][-1] == "DE LA PARROQUIA" and found[3]["contexto"] == ["TÍTULO II"]
 
 
-def test_minor_family_is_a_subheading():
+def test_minor_family_is_a_subheading(seg):
     _, found, _ = seg("Can. 1 Uno.", "Can. 2 Dos.", "Art. 1 – DE LA COLACIÓN", "Can. 3 Tres.", "Can. 4 Cuatro.")
     assert [f["id_norma"] for f in found] == [1, 2, 3, 4] and found[2]["contexto"] == ["Art. 1 – DE LA COLACIÓN"]
 
 
-def test_numbers_carry_on_and_inner_lists_stay():
+def test_numbers_carry_on_and_inner_lists_stay(seg):
     texts = ["1. Primero dice:", "1. inciso", "2. Segundo dice.", "3. Tercero.", "5. Quinto.", "6. Sexto.", "90. Lejos."]
     scheme, found, warnings = seg(*texts)
     assert scheme == "numerado" and [f["id_norma"] for f in found] == [1, 2, 3, 5, 6]
-    assert any("faltan [4]" in w for w in warnings)
+    assert "Numeración no consecutiva (faltan [4])." in warnings
     assert seg("20. Veinte dice.", *[f"{n}. Y así." for n in range(21, 26)])[0] == "numerado"
     assert seg("20. Veinte dice.", "25. Y así.")[0] == "ventanas"
 
 
-def test_windows_pages_and_giant_sentences():
+def test_windows_pages_and_giant_sentences(seg):
     words = " ".join(f"palabra{i}" for i in range(1200))
-    scheme, found, _ = SG.segment_lines([(1, words), (2, "Fin de todo.")], most=500)
-    assert scheme == "ventanas" and [len(f["texto"].split()) for f in found] == [500, 500, 202] or [len(f["texto"].split()) for f in found] == [500, 500, 203]
-    assert found[-1]["pagina_fin"] == 2 and all(f["parte"] == 1 for f in found)
-    assert SG.segment_lines([])[0] == "ventanas" and SG.segment_lines([])[1] == []
-    parts = SG.segment_lines([(1, "Art. 1. Uno."), (1, "Art. 2. Dos."), (1, "Art. 3. " + "Una frase corta. " * 300)], most=100)[1]
+    scheme, found, warnings = seg(words, (2, "Fin de todo."), most=500)
+    assert scheme == "ventanas" and [len(f["texto"].split()) for f in found] == [500, 500, 203]
+    assert found[-1]["pagina_fin"] == 2 and all(f["parte"] == 1 for f in found) and warnings[0].startswith("Sin estructura")
+    assert seg() == (None, [], [])
+    parts = seg("Art. 1. Uno.", "Art. 2. Dos.", "Art. 3. " + "Una frase corta. " * 300, most=100)[1]
     assert {f["partes_total"] for f in parts if f["id_norma"] == 3} == {10} and max(len(f["texto"].split()) for f in parts) <= 100
 
 
-def column(x, n, start=100, tag="w"):
-    return [LA.Word(f"{tag}{i}-{j}", x + 60.0 * j, x + 60.0 * j + 50, start + 14.0 * i, start + 14.0 * i + 10) for i in range(n) for j in range(3)]
+def test_repeated_headings_and_titles_in_force(seg):
+    _, found, _ = seg("Preámbulo con más de diez palabras para que no se pierda al final.", "LIBRO I", "TÍTULO I", "Art. 1. Uno.", "CAPÍTULO I", "Art. 2. Dos.", "CAPÍTULO II", "Art. 3. Tres.", "TÍTULO II", "Texto suelto que va aquí.", "Art. 4. Cuatro.")
+    assert [(f["etiqueta"], f["contexto"]) for f in found] == [
+        ("Preámbulo", []), ("Artículo 1", ["LIBRO I", "TÍTULO I"]), ("Artículo 2", ["LIBRO I", "TÍTULO I", "CAPÍTULO I"]), ("Artículo 3", ["LIBRO I", "TÍTULO I", "CAPÍTULO II"]),
+        ("Texto sin numerar", ["LIBRO I", "TÍTULO II"]), ("Artículo 4", ["LIBRO I", "TÍTULO II"]),
+    ]
+
+
+WORDS = "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double"
+
+
+def laid(pages):
+    """Rows of words (text, x0, x1, top, bottom) of numbered pages."""
+    return [("d", p, *w) for p, words in pages.items() for w in words]
+
+
+def column(x, n, start=100, tag="w", words=3):
+    return [(f"{tag}{i}-{j}", x + 60.0 * j, x + 60.0 * j + 50, start + 14.0 * i, start + 14.0 * i + 10) for i in range(n) for j in range(words)]
+
+
+@pytest.fixture
+def read(spark):
+    def run(pages):
+        rows = LA.reorder_columns(spark.createDataFrame(laid(pages), WORDS)).orderBy("page", "line_no").collect()
+        assert [r.line_no for r in rows if r.page == 1] == list(range(sum(r.page == 1 for r in rows)))
+        out = {}
+        for r in rows:
+            out.setdefault(r.page, []).append(r.line.split(" ")[0].split("-")[0])
+        return out
+
+    return run
+
+
+def named(tag, n):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+def test_two_columns_read_left_then_right(read):
+    two = column(50.0, 12, tag="L") + column(300.0, 12, tag="R")
+    title, foot = ("TÍTULO", 100.0, 480.0, 60.0, 70.0), ("PIE", 100.0, 480.0, 780.0, 790.0)
+    assert read({1: [title, *two, foot]}) == {1: ["TÍTULO", *named("L", 12), *named("R", 12), "PIE"]}
+    middle = ("CAPÍTULO", 100.0, 480.0, 100.0 + 14 * 12, 110.0 + 14 * 12)
+    below = column(50.0, 12, 100 + 14 * 13, "C") + column(300.0, 12, 100 + 14 * 13, "D")
+    assert read({1: [*two, middle, *below]}) == {1: named("L", 12) + named("R", 12) + ["CAPÍTULO"] + named("C", 12) + named("D", 12)}
+    uneven = column(50.0, 30, tag="L") + column(290.0, 22, tag="R", words=4)
+    assert read({1: uneven}) == {1: named("L", 30) + named("R", 22)}
+
+
+def test_pages_that_are_not_two_columns_are_left_out(read):
+    full = [(f"w{i}-{j}", 60.0 + 36 * j, 92.0 + 36 * j, 100.0 + 14 * i, 110.0 + 14 * i) for i in range(40) for j in range(13)]
+    index = full[: 13 * 30] + [(str(i), 560.0, 571.0, 100.0 + 14 * i, 110.0 + 14 * i) for i in range(30)]
+    margin = column(150.0, 40, words=7, tag="U") + [(f"n{i}", 60.0, 75.0, 100.0 + 14 * i, 110.0 + 14 * i) for i in range(20)]
+    three = column(50.0, 30, tag="A", words=2) + column(230.0, 30, tag="B", words=2) + column(410.0, 30, tag="C", words=2)
+    indent = full[: 13 * 30] + column(330.0, 8, 100 + 14 * 30, "S")
+    for words in (column(50.0, 40, words=8), full, index, margin, three, indent, column(50.0, 3, tag="L") + column(300.0, 3, tag="R")):
+        assert read({1: words}) == {}
 
 
-def test_two_columns_read_left_then_right():
-    title = [LA.Word("TÍTULO", 100, 480, 60, 70)]
-    words = title + column(50, 12, tag="L") + column(300, 12, tag="R")
-    got = LA.reading_order(words)
-    assert got[0] == "TÍTULO" and got[1].startswith("L0") and got[12].startswith("L11") and got[13].startswith("R0") and len(got) == 25
-    assert LA.reading_order(column(50, 30)) is None and LA.reading_order(words[:20]) is None
-    assert LA.rows_of([]) == []
-    three = column(50, 12, tag="a")[:] + column(240, 12, tag="b") + column(430, 12, tag="c")
-    assert LA.reading_order(three) is None or len(LA.reading_order(three)) >= 24
-    sparse = column(50, 8, tag="L") + column(300, 2, tag="R")
-    assert LA.reading_order(sparse) is None and LA.reading_order(sparse, (230.0, 300.0))[-1].startswith("R1")
+def test_a_sparse_last_page_is_read_by_the_other_pages_gutter(read):
+    two = column(50.0, 30, tag="L") + column(300.0, 30, tag="R")
+    sparse = column(50.0, 30, tag="L") + column(300.0, 3, tag="R")
+    assert read({1: sparse}) == {}
+    assert read({1: two, 2: two, 3: sparse})[3] == named("L", 30) + named("R", 3)
+    signature = column(50.0, 30, tag="U", words=3) + column(300.0, 2, 100 + 14 * 32, "S")
+    assert 3 not in read({1: two, 2: two, 3: signature})
+    # one page of two columns in ten is no document of two columns
+    full = [(f"w{i}-{j}", 60.0 + 36 * j, 92.0 + 36 * j, 100.0 + 14 * i, 110.0 + 14 * i) for i in range(40) for j in range(13)]
+    assert read({p: two if p == 1 else full for p in range(1, 11)}) == {}
 
 
-def test_document_layout_and_sample(spark):
-    rows = [("d", p, w.text, w.x0, w.x1, w.top, w.bottom) for p in range(3) for w in column(50, 12, tag="L") + column(300, 12, tag="R")]
-    df = spark.createDataFrame(rows, "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double")
-    assert LA.reorder_columns(df).count() == 72
-    assert LA.even_sample(list(range(20)), 8) == [0, 3, 5, 8, 11, 14, 16, 19]
-    got = spark.range(1).select(LA.even_sample_column(F.sequence(F.lit(0), F.lit(19)), 8).alias("s")).first().s
-    assert got == LA.even_sample(list(range(20)), 8)
+def test_even_sample(spark):
+    got = spark.range(1).select(LA.even_sample_column(F.sequence(F.lit(0), F.lit(19)), 8).alias("a"), LA.even_sample_column(F.sequence(F.lit(0), F.lit(5)), 8).alias("b")).first()
+    assert got.a == [0, 3, 5, 8, 11, 14, 16, 19] and got.b == list(range(6))
 
 
 def test_session_loads_once_searches_and_forgets(spark):

@@ -68,6 +68,14 @@ def test_compendium_counts_on(spark):
     assert got == [(1, "Uno (a) dice 30 no es numeral."), (2, "Dos."), (4, "Cuatro. 9 lejos.")]
 
 
+def test_compendium_ends_behind_its_last_words_and_has_no_menu(spark):
+    html = "<p>[ AR - DE - EN <a>ES</a> ]</p><p>Crepaldi</p><p>2 no es el primero</p><p>1 Uno dice.</p><p>3 Tres, y la posesión eterna de Ti mismo»...</p><p>4 Nota al pie.</p><p>Más notas, que no entran.</p>"
+    pages = spark.createDataFrame([(1, html), (2, None)], "doc_id int, html string")
+    rows = CO.compendium_blocks(CO.document_lines(pages, CO.COMPENDIUM_CUT, id_col="doc_id"))
+    assert [(r.numeral_id, r.texto) for r in rows.orderBy("numeral_id").collect()] == [(1, "Uno dice."), (3, "Tres, y la posesión eterna de Ti mismo...».")]
+    assert CO.compendium_blocks(lines(spark, ["1 sin firma."])).count() == 0
+
+
 def test_canons(spark):
     bold = "<p><b>1</b> § 1. Primer <i>texto</i>.</p><p><b>2</b> n Segundo ( n Indica que el texto cambió)</p><p>196 Sin marca.</p><p><b>1481</b> § 1. Ochenta. 1482 § 1. Y uno.</p><hr>fin"
     mark = "Can. 1311 - Castiga. Can. 1312 - Más [Redacción original: x]"

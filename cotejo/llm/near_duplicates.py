@@ -35,6 +35,8 @@ SKETCH_BITS = 1024
 GROUP_SHINGLES = 750_000
 #: Members of a group in one row, which one task compares with as many others.
 ROW_MEMBERS = 1024
+#: Parts that the pairs of one set are dealt to where no group's parts are at hand.
+SALTS = 64
 #: Ids of candidate texts that are broadcast to the scan of the texts; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Links whose components one task finds by itself; more go through distributed steps.
@@ -224,7 +226,14 @@ def _sender(k: int, percent: int, ranges: int):
     return send
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meeter(row_members: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _meet(batches, row_members)
+
+    return meet
+
+
+def _meet(batches: Iterator[pa.RecordBatch], row_members: int) -> Iterator[pa.RecordBatch]:
     """Of one key range: the groups of at least two sets that share a key; equal groups once."""
     entries = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
     if not entries:
@@ -252,8 +261,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for g, n in zip(keep[first], count, strict=True):
         own = owners[at[g] : end[g]]
-        for part in range(0, own.size, ROW_MEMBERS):
-            rows.append((int(gid[g]), part // ROW_MEMBERS, int(code[g]), own.size, int(n), own[part : part + ROW_MEMBERS]))
+        for part in range(0, own.size, row_members):
+            rows.append((int(gid[g]), part // row_members, int(code[g]), own.size, int(n), own[part : part + row_members]))
         if len(rows) >= 5000:
             yield _group_rows(rows)
             rows = []
@@ -431,7 +440,7 @@ def near_duplicate_classes(
     classes = cut(classes)
 
     sent = rows.select("text").mapInArrow(_sender(shingle, percent, ranges), "p int, block binary")
-    met = sent.repartitionById(ranges, "p").mapInArrow(_meet, _GROUP_SQL)
+    met = sent.repartitionById(ranges, "p").mapInArrow(_meeter(ROW_MEMBERS), _GROUP_SQL)
     groups = met.groupBy("gid", "part").agg(
         F.first("code").alias("code"), F.first("size").alias("size"), F.sum("keys").alias("keys"), F.first("members").alias("members")
     )
@@ -442,14 +451,17 @@ def near_duplicate_classes(
     members = members.join(spare, ["x", "code"], "left").withColumn("so_far", F.sum("keys").over(order))
     members = cut(members.where(F.col("so_far") > F.coalesce("spare", F.lit(0))).select("gid", "part", "x"))
 
-    # one candidate pair for each member of a group, with its smallest
+    # one candidate pair for each member of a group, with its smallest; what all members of a group
+    # need goes to its parts of ROW_MEMBERS first, so that no key has more rows than a part
     centers = members.groupBy("gid").agg(F.min("x").alias("c"))
-    pairs = members.select("gid", "x").join(centers, "gid").where("c <> x").select("c", "x").distinct()
+    parts = cut(members.select("gid", "part").distinct().join(centers, "gid"))
+    pairs = members.join(parts, ["gid", "part"]).where("c <> x").groupBy("c", "x").agg(F.min("part").alias("part"))
     facts = classes.select("set_id", "n", "sketch")
-    pairs = pairs.join(facts.toDF("c", "nc", "sc"), "c").join(facts.toDF("x", "nx", "sx"), "x")
+    heads = parts.select("c", "part").distinct().join(facts.toDF("c", "nc", "sc"), "c")
+    pairs = pairs.join(heads, ["c", "part"]).join(facts.toDF("x", "nx", "sx"), "x")
     apart = F.aggregate(F.zip_with("sc", "sx", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     fits = (F.least("nc", "nx") * 100 >= F.greatest("nc", "nx") * percent) & (F.col("apart") * (100 + percent) <= (F.col("nc") + F.col("nx")) * (100 - percent))
-    pairs = cut(pairs.withColumn("apart", apart).where(fits).select("c", "x"))
+    pairs = cut(pairs.withColumn("apart", apart).where(fits).select("c", "x", "part"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(set_id, text) of classes, read out of the documents by the rows that stand for them."""
@@ -462,7 +474,9 @@ def near_duplicate_classes(
     compare = F.arrow_udf(_compare(shingle, percent), "boolean")
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        both = pairs.select("c", "x").join(texts.toDF("x", "tx"), "x").join(texts.toDF("c", "tc"), "c")
+        """The links among pairs (c, x, part); a text c goes to each part of its pairs, not to one task."""
+        heads = pairs.select("c", "part").distinct().join(texts.toDF("c", "tc"), "c")
+        both = pairs.join(texts.toDF("x", "tx"), "x").join(heads, ["c", "part"])
         return cut(both.where(compare("tc", "tx")).select(F.col("c").alias("a"), F.col("x").alias("b")))
 
     links = spark.createDataFrame([], "a bigint, b bigint")
@@ -477,7 +491,7 @@ def near_duplicate_classes(
         left = _with_roots(left, roots, "x", "root")
         open_groups = left.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("part").alias("last"), F.count("*").alias("size"))
         open_groups = open_groups.where("r0 <> r1 and size > 2").select("gid", "last")
-        left = left.join(open_groups, "gid").join(centers, "gid").where("x <> c").join(facts.toDF("x", "n", "sketch"), "x")
+        left = left.join(parts.join(open_groups, "gid"), ["gid", "part"]).where("x <> c").join(facts.toDF("x", "n", "sketch"), "x")
         left = cut(left.select("gid", "part", "last", "x", "n", "root", "sketch"))
 
         def sided(high: bool, i, j) -> DataFrame:
@@ -492,7 +506,8 @@ def near_duplicate_classes(
 
     # first each set's nearest one in a group, which joins most classes; then all that is left
     for nearest in (True, False):
-        near = cut(still_apart(nearest, members).join(pairs, ["c", "x"], "left_anti"))
+        near = still_apart(nearest, members).join(pairs, ["c", "x"], "left_anti")
+        near = cut(near.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")))
         if near.take(1):
             links = links.unionByName(verified(near, texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())))
             roots = connected(links)
@@ -520,7 +535,10 @@ def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     row = found.groupBy("class", F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("rows"))
     row = cut(row.withColumn("order", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))))
     least = row.groupBy("class").agg(F.min("order").alias("least"))
-    judged = row.join(least, "class").select("__id", "__hash", (F.col("order") == F.col("least")).alias("first"), (F.col("rows") > 1).alias("repeated"))
+    # by row and not by class: the rows of one class may be a third of all
+    kept = least.select(F.col("least.id").alias("__i"), F.col("least.hash").alias("__h"), F.lit(True).alias("first"))
+    judged = row.join(kept, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
+    judged = judged.select("__id", "__hash", F.coalesce("first", F.lit(False)).alias("first"), (F.col("rows") > 1).alias("repeated"))
     away = judged.where("not first or repeated").select("__id", "__hash")
     again = judged.where("first and repeated").select("__id", "__hash")
     docs = df.withColumn("__own", F.xxhash64(text_col))

@@ -56,6 +56,7 @@ def test_classes_against_brute_force(spark, documents, seed):
 
 def test_large_group_is_compared_in_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(N, "ROW_MEMBERS", 4)
+    monkeypatch.setattr(N, "MAX_BROADCAST_IDS", 0)  # and candidate ids meet the texts by shuffle
     rows = made(7, families=3, most=30)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicate_classes(documents(rows)).collect()}
     assert got == brute(rows)
@@ -104,3 +105,9 @@ def test_connected_components(spark, small):
     got = {r.node: r.root for r in N.connected(spark.createDataFrame(edges, "a bigint, b bigint"), small).collect()}
     assert all(got[n] == 1 for n in (2, 3, 10)) and got[9] == got[8] == 7
     assert all(got[101 + i] == 100 for i in range(40)) and all(got[200 + i] == -5 for i in range(30))
+
+
+def test_one_row_of_each_class_is_kept(spark, documents):
+    rows = made(9, families=6)
+    kept = {r.doc_id for r in N.keep_one_of_each(documents(rows, first=2, order=3)).collect()}
+    assert kept == {c for _, c in brute(rows).values()}

@@ -8,6 +8,7 @@ all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,14 @@ def query(sql: str | None = None):
 TEXTS = ("documents", "pages")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder for tables that a query writes and reads again: the shared one, or on one machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "/tmp/cotejo").rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return TB.spread(df) if name in TEXTS else df
@@ -183,7 +192,11 @@ def line_predicates(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    r"""
+WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?;:])\s+([A-ZÁÉÍÓÚÑ¿¡"«“(\d])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)
+SELECT doc_id, (unnest(range(len(s))))::INTEGER AS i, unnest(s) AS oracion FROM s"""
+)
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "oracion"))
 
@@ -578,16 +591,24 @@ def cache_latest(spark, sf_dir):
     return TB.latest(e, "user_id", "seq")
 
 
-@query("SELECT count(*) AS lineas, count(DISTINCT user_id) AS claves, count(*) - count(DISTINCT user_id) AS sobran FROM events")
+@query("SELECT count(*) AS lineas, count(DISTINCT user_id) AS claves, count(*) - count(DISTINCT user_id) AS sobran, sum(DISTINCT user_id)::BIGINT AS suma FROM events")
 def cache_compaction(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), "event_type")
-    kept = TB.latest(e, "user_id", "seq").agg(F.count("*").alias("claves"))
-    return e.agg(F.count("*").alias("lineas")).join(F.broadcast(kept)).select("lineas", "claves", (F.col("lineas") - F.col("claves")).alias("sobran"))
+    """Events appended as a JSON cache, compacted, and read again."""
+    base = f"{scratch(spark)}/cache-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), "event_id")
+    TB.append_cache(e, f"{base}/lines")
+    gone = TB.compact(spark, f"{base}/lines", f"{base}/kept", "url string, event_id bigint")
+    kept = TB.read_cache(spark, f"{base}/kept", "url string, event_id bigint")
+    return kept.agg(
+        (F.count("*") + F.lit(gone)).alias("lineas"), F.count("*").alias("claves"), F.lit(gone).cast("long").alias("sobran"), F.sum(F.col("url").cast("bigint")).alias("suma")
+    )
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
 def pending_urls(spark, sf_dir):
-    return TB.pending(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers that the cache, a fifth of the orders, does not have."""
+    cache = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    return TB.pending(table(spark, sf_dir, "customer").select("c_custkey"), cache.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT count(*) AS urls, count(t) AS con_texto, count(*) - count(t) AS sin_texto FROM (SELECT CASE WHEN n_chars % 9 > 0 THEN text END AS t FROM documents)")
@@ -872,24 +893,76 @@ SELECT k.doc_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY page, i))
 WHERE r.key IS NULL AND NOT (border AND regexp_matches(line, '(?i)^(?:p[áa]g(?:ina|\.)?\s*)?\d{1,4}(?:\s*(?:de|/)\s*\d{1,4})?$|^[-–—]\s*\d{1,4}\s*[-–—]$')) GROUP BY k.doc_id"""
 )
 def header_footer_removal(spark, sf_dir):
-    kept = CL.drop_headers_footers(CL.page_lines(_pages_of(spark, sf_dir)))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(text).alias("h"))
+    docs = CL.whole_documents(CL.drop_headers_footers(CL.page_lines(_pages_of(spark, sf_dir))))
+    return docs.select("doc_id", F.size("lines").cast("long").alias("n"), F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("h"))
 
 
-@query()
+@query(
+    r"""
+WITH p AS (SELECT doc_id - doc_id % 8 AS doc_id, doc_id % 8 + 1 AS page, string_split(regexp_replace(text, '([a-z]{5})([a-z]{4})', '\1-' || chr(10) || '\2', 'g'), chr(10)) AS l FROM documents),
+q AS (SELECT doc_id, page, unnest(list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '')) AS line,
+  generate_subscripts(list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), 1) AS i FROM p),
+n AS (SELECT doc_id, page, line, row_number() OVER w - 1 AS k, coalesce(regexp_matches(lag(line) OVER w, '\p{L}-$') AND regexp_matches(line, '^\p{Ll}'), FALSE) AS j,
+  lower(regexp_extract(lag(line) OVER w, '(\p{L}+)-$', 1)) AS a, lower(regexp_extract(line, '^(\p{L}+)', 1)) AS b FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY page, i)),
+cw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(line), '\p{L}+(?:-\p{L}+)+')) AS c FROM n),
+kw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(line), '\p{L}+')) AS c FROM n),
+f AS (SELECT n.*, j AND EXISTS (SELECT 1 FROM cw WHERE cw.doc_id = n.doc_id AND cw.c = a || '-' || b) AND NOT EXISTS (SELECT 1 FROM kw WHERE kw.doc_id = n.doc_id AND kw.c = a || b) AS keep FROM n),
+g AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS line_no, lead(j AND NOT keep) OVER (PARTITION BY doc_id ORDER BY k) AS bare FROM f)
+SELECT doc_id, line_no::INTEGER AS line_no, min(page)::INTEGER AS page, md5(string_agg(CASE WHEN bare THEN left(line, length(line) - 1) ELSE line END, '' ORDER BY k)) AS h FROM g GROUP BY doc_id, line_no"""
+)
 def hyphen_join(spark, sf_dir):
-    return CL.prepare_lines(_pages_of(spark, sf_dir))
+    """Pages whose longer words are broken over two lines, joined again."""
+    broken = _pages_of(spark, sf_dir).withColumn("text", F.regexp_replace("text", "([a-z]{5})([a-z]{4})", "$1-\n$2"))
+    lines = CL.as_lines(CL.merge_hyphens(CL.whole_documents(CL.page_lines(broken))))
+    return lines.select("doc_id", "line_no", "page", F.md5("line").alias("h"))
 
 
 @query()
 def segment_document(spark, sf_dir):
-    return SG.segment_documents(CL.prepare_lines(_pages_of(spark, sf_dir)))
+    return SG.segment_documents(CL.prepare_documents(_pages_of(spark, sf_dir)))
 
 
-@query()
+@query(
+    r"""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 2 AS numbered FROM orders),
+l AS (SELECT k, numbered, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, 'Parte ' || l_partkey || ' que trae el proveedor ' || l_suppkey || '.' AS t FROM o JOIN lineitem ON l_orderkey = k),
+c AS (SELECT k, count(*) AS c FROM l GROUP BY 1),
+s AS (SELECT l.*, CASE WHEN numbered = 0 AND c >= 3 THEN 'articulado' WHEN numbered = 1 AND c >= 5 THEN 'numerado' ELSE 'ventanas' END AS esquema FROM l JOIN c USING (k)),
+x AS (SELECT k, numbered, esquema, n, t, CASE WHEN n % 3 = 1 THEN 'CAPÍTULO ' || (n // 3 + 1) || ' ' ELSE '' END || CASE WHEN numbered = 1 THEN n || '. ' ELSE 'Artículo ' || n || '.- ' END || t AS whole FROM s),
+f AS (SELECT k, esquema, n - 1 AS orden, t AS texto, n AS id_norma, CASE WHEN numbered = 1 THEN 'Numeral ' ELSE 'Artículo ' END || n AS etiqueta, 'CAPÍTULO ' || ((n - 1) // 3 + 1) AS contexto FROM x WHERE esquema <> 'ventanas'
+  UNION ALL SELECT k, 'ventanas', 0, string_agg(whole, ' ' ORDER BY n), 0, 'Fragmento 1', '' FROM x WHERE esquema = 'ventanas' GROUP BY k),
+b AS (SELECT k, count(*) FILTER (len(string_split(texto, ' ')) < 20) AS b FROM f GROUP BY 1)
+SELECT k::VARCHAR AS doc_id, esquema, orden::INTEGER AS orden, texto, id_norma::INTEGER AS id_norma, etiqueta, contexto,
+  concat_ws(' | ', CASE WHEN esquema = 'ventanas' THEN 'Sin estructura normativa: ventanas de unas 500 palabras.' END, CASE WHEN b > 0 THEN b || ' fragmento(s) tienen menos de 20 palabras.' END) AS avisos
+FROM f JOIN b USING (k)"""
+)
+def segment_articles(spark, sf_dir):
+    """Orders as documents: articles, numbered paragraphs or neither, under chapters of three lines."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = items.groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items"))
+
+    def said(x, i):
+        n = (i + 1).cast("string")
+        mark = F.when(F.col("doc_id") % 2 == 1, F.concat(n, F.lit(". "))).otherwise(F.concat(F.lit("Artículo "), n, F.lit(".- ")))
+        text = F.concat(mark, F.lit("Parte "), x["l_partkey"].cast("string"), F.lit(" que trae el proveedor "), x["l_suppkey"].cast("string"), F.lit("."))
+        return F.array_compact(F.array(F.when(i % 3 == 0, F.concat(F.lit("CAPÍTULO "), (i / 3 + 1).cast("int").cast("string"))), text))
+
+    docs = orders.select("doc_id", F.transform(F.flatten(F.transform("items", said)), lambda t: F.struct(F.lit(1).alias("page"), t.alias("line"))).alias("lines"))
+    found = SG.segment_documents(docs)
+    return found.select("doc_id", "esquema", "orden", "texto", "id_norma", "etiqueta", F.array_join("contexto", " > ").alias("contexto"), F.array_join("advertencias", " | ").alias("avisos"))
+
+
+@query(
+    r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM w),
+p AS (SELECT doc_id, t, i, (i // 360)::INTEGER AS page, (i % 360) // 180 AS col, (i % 180) // 6 AS r FROM s),
+n AS (SELECT doc_id, page, count(*) AS n, bool_or(count(*) >= 229) OVER (PARTITION BY doc_id) AS known FROM p GROUP BY doc_id, page),
+l AS (SELECT doc_id, page, col, r, string_agg(t, ' ' ORDER BY i) AS line FROM p JOIN n USING (doc_id, page) WHERE n >= 229 OR (known AND n >= 187) GROUP BY ALL)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY col, r) - 1)::INTEGER AS line_no, line FROM l"""
+)
 def reading_order(spark, sf_dir):
-    """Documents' words laid out in two columns, thirty rows a page, and read back."""
+    """Documents' words laid out in two columns, thirty rows a page, and read back: full pages, and last ones with enough on the right."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("i", "text"))
     n, col, slot = F.col("i") % 360, F.floor((F.col("i") % 360) / 180), F.col("i") % 6
     x0 = 50 + col * 270 + slot * 38

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _VOWELS = frozenset("aeiouáéíóúü")
@@ -155,10 +157,31 @@ def stem_table(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     return own.select("token", F.arrow_udf(_stems, "string")("token").alias("stem"))
 
 
+#: Distinct tokens whose stems a worker keeps; beyond it starts anew.
+CACHED = 1_000_000
+_cache: dict[str, str] = {}
+
+
+def _stem_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each batch's distinct tokens are stemmed once, and a worker remembers them over its batches."""
+    for batch in batches:
+        if len(_cache) > CACHED:
+            _cache.clear()
+        tokens = batch.flatten().dictionary_encode()
+        for t in tokens.dictionary.to_pylist():
+            if t not in _cache:
+                _cache[t] = stem(t)
+        stems = pa.array([_cache[t] for t in tokens.dictionary.to_pylist()], pa.string()).take(tokens.indices)
+        lengths = pc.fill_null(pc.list_value_length(batch), 0)
+        ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
+        yield pa.ListArray.from_arrays(ends, stems)
+
+
+def stems(tokens: Column) -> Column:
+    """The stems of an array of tokens, in order; none for a null array. A narrow step."""
+    return F.arrow_udf(_stem_lists, "array<string>")(tokens)
+
+
 def stem_arrays(df: DataFrame, id_col: str, tokens_col: str, out_col: str = "stems") -> DataFrame:
-    """(id, array of stems in order): tokens explode, meet their stems and gather again."""
-    each = df.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
-    met = each.join(stem_table(each), "token")
-    gathered = met.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias(out_col))
-    empty = F.array().cast("array<string>")
-    return df.select(id_col).join(gathered, id_col, "left").withColumn(out_col, F.coalesce(out_col, empty))
+    """(id, array of stems in order)."""
+    return df.select(id_col, stems(F.col(tokens_col)).alias(out_col))

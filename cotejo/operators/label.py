@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cotejo.operators.ranges import percentiles
+
 OUT_OF_SCOPE = "no_definido"
 
 
 def percentile_threshold(values: DataFrame, col: str, percentile: float = 85.0, fallback: float = 0.60) -> DataFrame:
     """One row ``corte``: the interpolated percentile, or the fallback without values."""
-    return values.agg(F.coalesce(F.percentile(col, percentile / 100.0), F.lit(fallback)).alias("corte"))
+    return percentiles(values, col, [percentile / 100.0]).select(F.coalesce("p0", F.lit(fallback)).alias("corte"))
 
 
 def article_score(top3: Column, maximum: Column) -> Column:
@@ -55,7 +57,7 @@ def calibrate_thresholds(train: DataFrame, *, score: str = "sb_max", verdict_col
     near, undefined = t.agg(F.avg((F.col("v") == "proximo").cast("int")), F.avg((F.col("v") == "no_definido").cast("int"))).first()
     if near is None:
         raise ValueError("no training rows")
-    high, low = t.agg(F.percentile("s", 1.0 - near), F.percentile("s", undefined)).first()
+    high, low = percentiles(t, "s", [1.0 - near, undefined]).first()
     return float(high), float(low)
 
 

@@ -122,8 +122,10 @@ def find_candidates(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id",
     p = p.withColumn("phrase", F.array_join("w", " "))
     found = p.groupBy("phrase").agg(F.countDistinct("doc").alias("fragmentos"), F.min(F.struct("doc", "n", "pos", "spelling")).alias("first"))
     found = found.where(F.col("fragmentos") >= least)
-    terms = known.select(T.normalize(F.col("form")).alias("term")).distinct()
-    found = found.join(terms, T.contains_phrase(F.col("term"), F.col("phrase")), "left_anti")
+    # a term holds a phrase if the phrase is one of its own word n-grams
+    words = known.select(F.split(T.normalize(F.col("form")), " ").alias("w"))
+    inner = F.flatten(F.array(*[F.when(F.size("w") >= n, T.ngrams(F.col("w"), n)).otherwise(F.array().cast("array<string>")) for n in (2, 3)]))
+    found = found.join(words.select(F.explode(inner).alias("phrase")).distinct(), "phrase", "left_anti")
     # equal counts: the phrase met first
     best = found.orderBy(F.desc("fragmentos"), "first.doc", "first.n", "first.pos").limit(top)
     shown = best.join(docs.select("doc", "toks"), best["first.doc"] == docs["doc"])

@@ -282,18 +282,15 @@ s AS (SELECT *, len(list_intersect(ga, gb)) AS both_n, len(list_intersect(ua, ub
 """.format(content=content_sql("text"), ga=bigram_sql("a"), gb=bigram_sql("b"))
 
 
-def _literal(spark, sf_dir, metric: str, cut=None):
+def _literal(spark, sf_dir, metric: str):
     items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("premise_id"), T.content_tokens(F.col("text")).alias("tokens"))
-    if cut:
-        items = items.withColumn("tokens", F.slice("tokens", 1, cut))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("norm_id"), T.content_tokens(F.col("text")).alias("tokens"))
     found = S.literal_pairs(items, docs, 2, metric)
     return found.select(F.col("premise_id").alias("item_id"), F.col("norm_id").alias("doc_id"), digits(F.col("literal")).alias("literal")).where("literal > 0")
 
 
-def _literal_sql(one: str, full: str, cut: str = "") -> str:
-    head = _LITERAL.replace("AS a FROM benchmark", f"{cut} AS a FROM benchmark") if cut else _LITERAL
-    return f"WITH {head} SELECT * FROM (SELECT item_id, doc_id, round(CASE WHEN len(a) < 2 THEN {one} WHEN len(a) < 12 THEN 0.5 * {one} + 0.5 * {full} ELSE {full} END, 6) AS literal FROM s) WHERE literal > 0"
+def _literal_sql(one: str, full: str) -> str:
+    return f"WITH {_LITERAL} SELECT * FROM (SELECT item_id, doc_id, round(CASE WHEN len(a) < 2 THEN {one} WHEN len(a) < 12 THEN 0.5 * {one} + 0.5 * {full} ELSE {full} END, 6) AS literal FROM s) WHERE literal > 0"
 
 
 @query(_literal_sql("both_1 / len(ua)", "both_n / len(ga)"))
@@ -306,11 +303,6 @@ def literal_dice(spark, sf_dir):
     return _literal(spark, sf_dir, "dice")
 
 
-@query(_literal_sql("both_1 / len(ua)", "both_n / len(ga)", "[1:6]"))
-def literal_short_premise(spark, sf_dir):
-    return _literal(spark, sf_dir, "containment", 6)
-
-
 @query(
     f"""
 SELECT DISTINCT doc_id, concept_id, categoria
@@ -996,16 +988,16 @@ def text_quality(spark, sf_dir):
     f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS toks FROM documents),
 n AS (SELECT doc_id, list_transform(toks, lambda x: strip_accents(x)) AS w FROM t),
-g AS (SELECT doc_id, w[i : i + 1] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM n) UNION ALL SELECT doc_id, w[i : i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM n)),
-f AS (SELECT array_to_string(w, ' ') AS frase, count(DISTINCT doc_id) AS fragmentos FROM g WHERE NOT list_contains({STOP}, w[1]) AND NOT list_contains({STOP}, w[len(w)]) AND length(w[1]) >= 3 AND length(w[len(w)]) >= 3
-  AND NOT list_has_any(w, {_list(T.FILLER_WORDS)}) AND len(list_filter(w, lambda x: NOT list_contains({STOP}, x) AND length(x) >= 5)) > 0 GROUP BY 1)
-SELECT fragmentos, count(*) AS frases FROM (SELECT fragmentos FROM f WHERE fragmentos >= 12 AND NOT EXISTS (SELECT 1 FROM {FORMS_SQL} WHERE contains(' ' || form || ' ', ' ' || frase || ' ')) ORDER BY fragmentos DESC LIMIT 40) GROUP BY 1"""
+g AS (SELECT doc_id, 2 AS k, i, w[i : i + 1] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM n) UNION ALL SELECT doc_id, 3, i, w[i : i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM n)),
+f AS (SELECT array_to_string(w, ' ') AS phrase, count(DISTINCT doc_id) AS fragmentos, min(doc_id * 100000000 + k * 10000000 + i - 1) AS first FROM g
+  WHERE NOT list_contains({STOP}, w[1]) AND NOT list_contains({STOP}, w[len(w)]) AND length(w[1]) >= 3 AND length(w[len(w)]) >= 3
+  AND NOT list_has_any(w, {_list(T.FILLER_WORDS)}) AND len(list_filter(w, lambda x: NOT list_contains({STOP}, x) AND length(x) >= 5)) > 0 GROUP BY 1),
+b AS (SELECT *, first // 100000000 AS doc_id, (first // 10000000) % 10 AS k, first % 10000000 AS pos FROM f
+  WHERE fragmentos >= 12 AND NOT EXISTS (SELECT 1 FROM {FORMS_SQL} WHERE contains(' ' || form || ' ', ' ' || phrase || ' ')) ORDER BY fragmentos DESC, first LIMIT 40)
+SELECT array_to_string(toks[pos + 1 : pos + k], ' ') AS frase, fragmentos, array_to_string(toks[greatest(pos - 4, 0) + 1 : pos + k + 4], ' ') AS ejemplo FROM b JOIN t USING (doc_id)"""
 )
 def candidate_phrases(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    known = TH.forms_table(thesaurus(spark)).select("form")
-    found = TH.find_candidates(d, known)
-    return found.groupBy("fragmentos").agg(F.count("*").alias("frases"))
+    return TH.find_candidates(table(spark, sf_dir, "documents"), TH.forms_table(thesaurus(spark)).select("form"))
 
 
 @query()
@@ -1027,7 +1019,7 @@ def rf_predict(spark, sf_dir):
 
     data = _feature_rows(spark, sf_dir)
     split = E.grouped_split(data, "dominio")
-    fitted = M.train(split.where("not es_test"), trees=20, depth=8)
+    fitted = M.train(split.where("not es_test"))
     return M.predict(fitted, split.where("es_test")).select("id", "veredicto", "pred", digits(F.col("probabilidad")).alias("probabilidad"))
 
 
@@ -1038,7 +1030,7 @@ def verify_articles(spark, sf_dir):
     level = F.get(F.array(*map(F.lit, AUTHORITY_SCALE)), (F.col("doc_id") % 5).cast("int"))
     norms = d.select(F.col("doc_id").alias("norm_id"), F.col("text").alias("texto"), F.col("lang").alias("categoria"), level.alias("nivel_autoridad"))
     articles = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("article_id"), F.lit("").alias("titulo"), F.col("text").alias("texto"))
-    return V.verify(articles, norms, thesaurus(spark), stemmed=False)
+    return V.verify(articles, norms, thesaurus(spark))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

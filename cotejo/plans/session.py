@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.config import SESSION_AUTHORITY_SCALE, Settings
+from cotejo.errors import EmptyDocument, InvalidAuthority, SessionError
 from cotejo.functions.text import ascii_tokens
 from cotejo.operators.classify import pages_label
 from cotejo.operators.clean import prepare_documents
@@ -17,10 +18,6 @@ from cotejo.operators.segment import segment_documents
 GENERIC = "Normativa Externa (carga dinámica)"
 
 
-class SessionError(ValueError):
-    """A document or parameter that the session can't take."""
-
-
 class Session:
     """Fragments of loaded documents as an immutable DataFrame behind one temporary view.
 
@@ -43,7 +40,7 @@ class Session:
     def load(self, pages: DataFrame, *, name: str, category: str = GENERIC, authority: float = 0.33) -> list[str]:
         """Adds documents (doc_id, page, text) that are not loaded yet; the ids added."""
         if not any(abs(authority - a) < 1e-9 for a in SESSION_AUTHORITY_SCALE):
-            raise SessionError(f"authority must be one of {SESSION_AUTHORITY_SCALE}")
+            raise InvalidAuthority(f"authority must be one of {SESSION_AUTHORITY_SCALE}")
         if self.fragments is not None:
             pages = pages.join(self.fragments.select(F.col("doc_id").alias("__have")).distinct(), F.col("doc_id").cast("string") == F.col("__have"), "left_anti")
         docs = prepare_documents(pages)
@@ -61,7 +58,7 @@ class Session:
         ).cache()
         ids = sorted(r[0] for r in found.select("doc_id").distinct().collect())  # computes it all, or raises
         if not ids and pages.take(1):
-            raise SessionError("no text could be taken from the document")
+            raise EmptyDocument("no text could be taken from the document")
         self._publish(found if self.fragments is None else self.fragments.unionByName(found))
         return ids
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cotejo.config import Settings
 from cotejo.functions import text as T
-from cotejo.functions.stem import stem_arrays
+from cotejo.functions.stem import stems
 from cotejo.operators import score as S
 from cotejo.operators import thesaurus as TH
 from cotejo.operators.retrieve import hashed_embedding, metadata_filter, retrieve_topk
@@ -34,8 +34,7 @@ def with_tokens_and_concepts(rows: DataFrame, forms: DataFrame, *, id_col: str,
     """(id, tokens of content, concepts) of each row; concepts an empty array where none."""
     base = rows.select(id_col, T.ascii_tokens(F.col(text_col)).alias("all"), T.content_tokens(F.col(text_col)).alias("tokens"))
     if stemmed:
-        plain = stem_arrays(base, id_col, "all", "all_s").join(stem_arrays(base, id_col, "tokens", "tokens_s"), id_col)
-        base = plain.select(id_col, F.col("all_s").alias("all"), F.col("tokens_s").alias("tokens"))
+        base = base.select(id_col, stems(F.col("all")).alias("all"), stems(F.col("tokens")).alias("tokens"))
     found = TH.concept_arrays(TH.detect_concepts(base, forms, id_col=id_col, tokens_col="all"), id_col)
     none = F.array().cast(S.CONCEPTS)
     return base.join(found, id_col, "left").select(id_col, "tokens", F.coalesce("conceptos", none).alias("conceptos"))

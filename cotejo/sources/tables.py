@@ -236,6 +236,8 @@ def read_pdfs(spark: SparkSession, path: str, *, max_bytes: int = 50 << 20, max_
                         state = "demasiadas páginas"
                     else:
                         pages = [{"page": i, "text": p.extract_text() or ""} for i, p in enumerate(doc.pages, 1)]
+                        if not any(p["text"].strip() for p in pages):
+                            pages, state = None, "sin texto"
                 except Exception as e:  # a broken file is a row, not a failed job
                     state = f"ilegible: {type(e).__name__}"
             rows.append({"estado": state, "pages": pages})

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.config import AUTHORITY_SCALE, FEATURES, SESSION_AUTHORITY_SCALE, Settings
+from cotejo.config import AUTHORITY_SCALE, FEATURES, SESSION_AUTHORITY_SCALE, SIGNAL_FAMILIES, Settings
 from cotejo.functions import stem as ST
 from cotejo.functions import text as T
 from cotejo.operators import classify as C
@@ -863,6 +863,137 @@ def council_blocks(spark, sf_dir):
     return CO.council_blocks(lines, "Decretos", id_col="page_id")
 
 
+# -- corpora and files over rows of the tables --------------------------------------------------
+
+
+def _numbered_lines(spark, sf_dir) -> DataFrame:
+    """Orders as documents: (doc_id, n from 1, parte) of each line item, in order."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    return items.select("doc_id", F.posexplode("x").alias("n", "x")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.col("x.l_partkey").alias("parte"))
+
+
+_NUMBERED_SQL = "n AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey AS parte FROM lineitem)"
+
+
+def _lines_of(rows: DataFrame, said: list) -> DataFrame:
+    """(doc_id, line_no, line): ``said`` columns of each row that aren't null, one after the other."""
+    each = rows.select("doc_id", "n", F.posexplode(F.array(*said)).alias("k", "line")).where("line is not null")
+    return each.select("doc_id", (F.col("n") * 10 + F.col("k")).cast("int").alias("line_no"), "line")
+
+
+@query(
+    f"""WITH {_NUMBERED_SQL}, s AS (SELECT *, sum(CASE WHEN parte % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec,
+  min(CASE WHEN parte % 97 = 0 THEN n END) OVER (PARTITION BY doc_id) AS stop FROM n), k AS (SELECT * FROM s WHERE stop IS NULL OR n < stop),
+b AS (SELECT doc_id, n, parte, sec FROM k)
+SELECT doc_id, n AS numeral_id, 'Concilio Vaticano II > Constituciones > Orden ' || doc_id || CASE WHEN sec > 0 THEN ' > APÉNDICE' ELSE '' END AS contexto_jerarquico, 'Parte ' || parte || ': sigue el texto.' AS texto FROM b
+UNION ALL SELECT doc_id, n, 'Concilio Vaticano II > Declaraciones > Orden ' || doc_id || CASE WHEN sec > 0 THEN ' > APÉNDICE' ELSE '' END, 'Parte ' || parte || ': sigue el texto.' FROM b"""
+)
+def council_numerals(spark, sf_dir):
+    """Numbered paragraphs under annexes, up to the notes, as a constitution and as a declaration."""
+    n, part = F.col("n").cast("string"), F.col("parte").cast("string")
+    notes = F.when(F.col("parte") % 97 == 0, F.lit("NOTAS"))
+    said = [notes, F.when(F.col("parte") % 5 == 0, "A P É N D I C E"), F.lit("CAPÍTULO I"), F.concat(n, F.lit(". Parte "), part, F.lit(":")), F.lit("Título corto"), F.lit("sigue el texto.")]
+    rows = _numbered_lines(spark, sf_dir)
+    lines = _lines_of(rows, said).join(rows.select("doc_id", F.concat(F.lit("Orden "), "doc_id").alias("titulo")).distinct(), "doc_id")
+    both = [CO.council_blocks(lines, kind).select("doc_id", "numeral_id", "contexto_jerarquico", "texto") for kind in ("Constituciones", "Declaraciones")]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    f"""WITH {_NUMBERED_SQL}, s AS (SELECT *, min(CASE WHEN parte % 31 = 0 THEN n END) OVER (PARTITION BY doc_id) AS stop FROM n)
+SELECT doc_id, n AS numeral_id, 'Dice ''esto'' (de ' || parte || ') y 99 no cuenta.' || CASE WHEN n = stop THEN ' La posesión eterna de Ti mismo...».' ELSE '' END AS texto FROM s WHERE stop IS NULL OR n <= stop"""
+)
+def compendium_numerals(spark, sf_dir):
+    """Numerals behind the signature, with numbers in running text, up to the closing words."""
+    n, part = F.col("n").cast("string"), F.col("parte").cast("string")
+    begin = F.when(F.col("n") == 1, F.array(F.lit("1 Índice de lo que sigue."), F.lit("Mons. Giampaolo Crepaldi"), F.lit("7 antes del primero.")))
+    end = F.when(F.col("parte") % 31 == 0, F.array(F.lit("La posesión eterna de Ti mismo»..."), F.lit("8 Nota al pie.")))
+    rows = _numbered_lines(spark, sf_dir)
+    own = F.array(F.concat(n, F.lit(' Dice "esto" ( de '), part, F.lit(" )")), F.lit("corta"), F.lit("y 99 no cuenta."))
+    each = rows.select("doc_id", "n", F.posexplode(F.concat(F.coalesce(begin, F.array()), own, F.coalesce(end, F.array()))).alias("k", "line"))
+    return CO.compendium_blocks(each.select("doc_id", (F.col("n") * 10 + F.col("k")).cast("int").alias("line_no"), "line"))
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, p_size, p_name FROM part)
+SELECT (3000 + p_partkey)::BIGINT AS canon_id, 'Texto ' || p_name || '.' AS texto FROM n WHERE p_partkey % 3 > 0
+UNION ALL SELECT 3000 + p_partkey, 'Nuevo ' || p_name || '.' FROM n WHERE p_partkey % 3 = 0"""
+)
+def canon_texts(spark, sf_dir):
+    """Canons of pages by bold numbers and by marks, of several versions the last."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_name", (F.col("p_partkey") + 3000).cast("string").alias("c"))
+    bold = F.concat(F.lit("<p><b>"), "c", F.lit("</b> § 1. Texto <i>"), "p_name", F.lit("</i>. ( n Indica que el texto cambió)</p><hr>fin"))
+    mark = F.concat(F.lit("<p>Can. "), "c", F.lit(" - Texto "), "p_name", F.lit(". [Redacción original: otra]</p>"))
+    first = CO.canons(p.withColumn("html", F.when(F.col("page_id") % 2 == 0, bold).otherwise(mark))).withColumn("v", F.lit(0))
+    again = p.where("page_id % 3 = 0").withColumn("html", F.concat(F.lit("<b>"), "c", F.lit("</b> Nuevo "), "p_name", F.lit(".")))
+    rows = first.unionByName(CO.canons(again).withColumn("v", F.lit(1)))
+    clean = F.regexp_replace("texto", r" \.$", ".")
+    return CO.latest_canons(CO.require_canons(rows, 1), order=["v", "page_id", "seq"]).select("canon_id", clean.alias("texto"))
+
+
+@query(
+    """SELECT 'corpus_' || p_size % 4 AS tipo_corpus, 'Fuente ' || p_size % 4 AS fuente, (row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) - 1)::INTEGER AS indice, p_partkey AS numeral_id,
+  p_type || ' > "x"' AS contexto_jerarquico, p_name AS texto FROM part"""
+)
+def corpus_files(spark, sf_dir):
+    """Parts as items of four corpora, written as master files and read back."""
+    kind = (F.col("p_size") % 4).cast("string")
+    items = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("corpus_"), kind).alias("tipo_corpus"), F.concat(F.lit("Fuente "), kind).alias("fuente"), F.col("p_partkey").alias("indice"), F.col("p_partkey").alias("numeral_id"),
+        F.concat("p_type", F.lit(' > "x"')).alias("contexto_jerarquico"), F.col("p_name").alias("texto"),
+    )
+    path = f"{scratch(spark)}/master-{uuid.uuid4().hex}"
+    TB.write_master(items, path)
+    return TB.read_master(spark, path, "*.json").select("tipo_corpus", "fuente", "indice", "numeral_id", "contexto_jerarquico", "texto")
+
+
+@query("""SELECT s_suppkey AS id, s_name || ', "' || s_nationkey || '"; ñ' AS texto, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS saldo FROM supplier""")
+def csv_files(spark, sf_dir):
+    """Suppliers written as CSV and read back: separators, quotes, nulls."""
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(', "'), "s_nationkey", F.lit('"; ñ')).alias("texto"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal")).alias("saldo"), F.lit(1).alias("otra")
+    )
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    TB.write_csv(s, path, ["id", "texto", "saldo"])
+    return TB.read_csv(spark, path, "id bigint, texto string, saldo double")
+
+
+_VERDICTS = ["proximo", "distante", "no_definido", "otro"]
+
+
+@query(
+    "SELECT event_id, CASE event_id % 5 "
+    + " ".join(f"WHEN {i} THEN '{C.VERDICT_LABELS.get(v, v)} — {C.VERDICT_MESSAGES.get(v, 'Veredicto desconocido.')}'" for i, v in enumerate(_VERDICTS))
+    + " ELSE 'Sin veredicto.' END AS linea FROM events"
+)
+def verdict_lines(spark, sf_dir):
+    v = F.get(F.lit(_VERDICTS), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", C.verdict_line(v).alias("linea"))
+
+
+@query(
+    f"""WITH {_NUMBERED_SQL}, l AS (SELECT doc_id, n, CASE WHEN parte % 4 = 0 THEN n END AS own FROM n)
+SELECT doc_id, n AS line_no, first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 250 FOLLOWING)::INTEGER AS siguiente FROM l"""
+)
+def next_paragraph(spark, sf_dir):
+    rows = _numbered_lines(spark, sf_dir)
+    line = F.when(F.col("parte") % 4 == 0, F.concat(F.col("n").cast("string"), F.lit(") Uno"))).otherwise(F.concat(F.lit("texto "), F.col("n").cast("string"), F.lit(". no")))
+    lines = rows.select("doc_id", F.lit(1).alias("page"), F.col("n").alias("line_no"), line.alias("line"))
+    return CL.next_number(lines).select("doc_id", "line_no", "siguiente")
+
+
+_IMPORTANCES = [(f, round(0.01 * (i + 1), 2), k) for i, (f, k) in enumerate((f, k) for k, fs in SIGNAL_FAMILIES.items() for f in fs)]
+
+
+@query(
+    "WITH v(feature, importance, familia) AS (VALUES " + ", ".join(f"('{f}', {x}::DOUBLE, '{k}')" for f, x, k in _IMPORTANCES) + ", ('otra', 5.0, NULL)) "
+    "SELECT familia, round(sum(importance), 6) AS importancia, round(sum(importance) / sum(sum(importance)) OVER (), 6) AS peso FROM v WHERE familia IS NOT NULL GROUP BY 1"
+)
+def family_importances(spark, sf_dir):
+    rows = spark.createDataFrame([(f, x) for f, x, _ in _IMPORTANCES] + [("otra", 5.0)], "feature string, importance double")
+    return E.importances_by_family(rows).select("familia", digits(F.col("importancia")).alias("importancia"), digits(F.col("peso")).alias("peso"))
+
+
 # -- documents -----------------------------------------------------------------------------
 
 

@@ -45,11 +45,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_master(items: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Items gathered under their corpus, one JSON document a corpus."""
+    """Items gathered under their corpus, one JSON document a corpus, each in a file of its own, as the reader takes one a file."""
     fields = [f.split(":")[0] for f in ITEM[7:-1].split(",")]
     own = [F.col(c) if c in items.columns else F.lit(None).alias(c) for c in fields]
     gathered = items.groupBy("tipo_corpus", "fuente").agg(F.sort_array(F.collect_list(F.struct("indice", F.struct(*own).alias("i")))).alias("d"))
-    gathered.select("tipo_corpus", "fuente", F.current_date().cast("string").alias("fecha_generacion"), F.transform("d", lambda x: x["i"]).alias("datos")).write.mode(mode).json(path)
+    gathered.select("tipo_corpus", "fuente", F.current_date().cast("string").alias("fecha_generacion"), F.transform("d", lambda x: x["i"]).alias("datos")).write.mode(mode).option("maxRecordsPerFile", 1).json(path)
 
 
 def load_master(spark: SparkSession, path: str, *, mode: str = "estatico", scrape=None, backup: str | None = None, attempts: int = 3, wait: float = 5.0) -> DataFrame:

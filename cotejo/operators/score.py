@@ -52,6 +52,12 @@ def literal_similarity(premise: Column, norm: Column, n: int = 2, metric: str =
     return F.when((F.size(premise) > 0) & (F.size(norm) > 0), short).otherwise(0.0)
 
 
+#: Grams of premises (counted) that are broadcast to the norms' scan, about 100 bytes each; more are joined by shuffle.
+MAX_BROADCAST_GRAMS = 500_000
+#: Tasks that one gram's norms are dealt to in that join.
+SALTS = 32
+
+
 def literal_pairs(premises: DataFrame, norms: DataFrame, n: int = 2, metric: str = "containment") -> DataFrame:
     """(premise_id, norm_id, literal) of all pairs that share a word or n-gram, others being 0.
 
@@ -59,6 +65,9 @@ def literal_pairs(premises: DataFrame, norms: DataFrame, n: int = 2, metric: str
     same signal as ``literal_similarity`` without a cross join: distinct grams
     of both sides meet by equality and are counted a pair, so the work follows
     what is shared. A premise sends words only if it is short enough to use them.
+    The premises' grams, counted first, go to the norms' scan while they are
+    few; more meet by a salted join. Null ids match nothing of their own; an
+    empty side gives no rows.
     """
     if metric not in ("containment", "dice") or n < 1:
         raise ValueError("unknown literal metric or n < 1")
@@ -73,7 +82,12 @@ def literal_pairs(premises: DataFrame, norms: DataFrame, n: int = 2, metric: str
     both = F.array(one(F.col("tokens")), many(F.col("tokens"))) if n > 1 else F.array(one(F.col("tokens")))
     q = norms.select(F.col("norm_id"), F.inline(both))
     q = q.select("norm_id", "kind", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    shared = q.join(p, ["kind", "gram"]).groupBy("premise_id", "norm_id", "kind").agg(F.count("*").cast("double").alias("both"), F.first("np").alias("np"), F.first("nq").alias("nq"), F.first("len").alias("len"))
+    if p.count() <= MAX_BROADCAST_GRAMS:
+        met = q.join(F.broadcast(p), ["kind", "gram"])
+    else:  # a gram of a third of all norms is dealt to SALTS tasks
+        salted = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = q.withColumn("salt", F.pmod(F.xxhash64("norm_id"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "gram", "salt"])
+    shared = met.groupBy("premise_id", "norm_id", "kind").agg(F.count("*").cast("double").alias("both"), F.first("np").alias("np"), F.first("nq").alias("nq"), F.first("len").alias("len"))
     part = F.col("both") / F.col("np") if metric == "containment" else 2 * F.col("both") / (F.col("np") + F.col("nq"))
     half = F.when((F.col("len") >= n) & (F.col("len") < 12) & F.lit(n > 1), 0.5).otherwise(1.0)
     return shared.groupBy("premise_id", "norm_id").agg(F.sum(half * part).alias("literal"))

@@ -56,7 +56,7 @@ def evidence(
 
     asked, norms = embedded(asked), metadata_filter(embedded(norms), where)
     # k rows a premise, read three times below
-    found = retrieve_topk(asked, norms, s.top_k if k is None else k, max_k=s.max_top_k, skip_same=skip_same).persist()
+    found = kept(retrieve_topk(asked, norms, s.top_k if k is None else k, max_k=s.max_top_k, skip_same=skip_same))
     forms = TH.forms_table(concepts, stemmed=stemmed)
     categories = sorted({r[0] for r in concepts.select("categoria").distinct().collect()})
     p = with_tokens_and_concepts(asked.select("premise_id", "texto"), forms, id_col="premise_id", stemmed=stemmed).toDF("premise_id", "premise_tokens", "premise_concepts")
@@ -67,6 +67,11 @@ def evidence(
     return S.score_evidence(pairs, s.weights, ngram=s.ngram, metric=s.literal_metric, known_categories=known)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the cluster's checkpoint folder if there is one, which needs no release, else in the cache."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def window_reports(asked: DataFrame, scored: DataFrame) -> DataFrame:
     """One row a window: article_id, i, ok, ivr, n_evidencias, signal maxima, concept ids; ok is false without evidence."""
     r = S.report(scored)

@@ -253,3 +253,22 @@ def test_candidates_and_suggestions(spark, tmp_path):
     assert TH.suggest_forms(docs, "de la").count() == 0
     TH.write_candidates_csv(TH.find_candidates(docs, known), str(tmp_path / "c.csv"))
     assert (tmp_path / "c.csv").read_bytes().startswith(b"\xef\xbb\xbffrase;")
+
+
+def test_no_plan_pairs_rows_blindly(spark):
+    """Candidates and detection join by equality."""
+    docs = spark.createDataFrame([(1, "estado clerical")], "doc_id int, text string")
+    known = spark.createDataFrame([("dispensa",)], "form string")
+    for df in (TH.find_candidates(docs, known), CL.drop_headers_footers(CL.page_lines(pages(spark, ["a"])))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_states_of_files_are_errors_of_their_kind():
+    from cotejo import errors as X
+
+    X.raise_for_state("ok")
+    for state, kind in (("cifrado", X.InvalidPdf), ("ilegible: PdfReadError", X.InvalidPdf), ("demasiado grande", X.PdfTooLarge), ("demasiadas páginas", X.PdfTooLarge), ("sin texto", X.NoNativeText)):
+        with pytest.raises(kind, match="a.pdf"):
+            X.raise_for_state(state, "a.pdf")
+        assert issubclass(kind, X.SessionError)

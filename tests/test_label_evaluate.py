@@ -92,3 +92,16 @@ def test_model_learns_and_comes_back(spark, tmp_path):
     split = E.grouped_split(data, "dominio")
     c = E.compare_models(M.predict(m, split.where("es_test")).withColumnRenamed("pred", "pred_h"), split.where("not es_test"))
     assert {r.modelo: round(r.accuracy, 3) for r in c.collect()}["modelo_hibrido"] == 1.0
+
+
+def test_percentiles_are_numpys(spark):
+    import numpy as np
+
+    from cotejo.operators.ranges import percentiles
+
+    rng = np.random.default_rng(2)
+    v = np.r_[rng.normal(size=500), np.zeros(200), [7.0]]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    shares = [0.0, 0.15, 0.5, 0.85, 0.999, 1.0]
+    assert list(percentiles(df, "x", shares).first()) == pytest.approx(list(np.quantile(v, shares)))
+    assert percentiles(df.where("x > 100"), "x", [0.5]).first()[0] is None

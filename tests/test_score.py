@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,21 @@ def test_literal_both_ways(spark, p, n, k, metric, want):
     assert (row.literal if row else 0.0) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_literal_pairs_by_broadcast_and_by_salted_join(spark, monkeypatch, most):
+    """All pairs against the column form: short and long premises, and a gram that all norms share."""
+    monkeypatch.setattr(S, "MAX_BROADCAST_GRAMS", most)
+    rnd = random.Random(3)
+    words = lambda n: [rnd.choice("abcdefgh") for _ in range(n)]
+    left = spark.createDataFrame([(i, ["x", "y", *words(n)]) for i, n in enumerate([0, 1, 4, 9, 10, 20])], "premise_id int, tokens array<string>")
+    right = spark.createDataFrame([(i, ["x", "y", *words(i % 30)]) for i in range(60)], "norm_id int, tokens array<string>")
+    both = left.withColumnRenamed("tokens", "p").join(right.withColumnRenamed("tokens", "q"))
+    want = {(r[0], r[1]): round(r[2], 9) for r in both.select("premise_id", "norm_id", S.literal_similarity(F.col("p"), F.col("q"))).collect()}
+    got = {(r.premise_id, r.norm_id): round(r.literal, 9) for r in S.literal_pairs(left, right).collect()}
+    assert got == {k: v for k, v in want.items() if v > 0}
+    assert S.literal_pairs(left.limit(0), right).count() == S.literal_pairs(left, right.limit(0)).count() == 0
+
+
 def test_literal_parameters():
     for bad in ({"metric": "x"}, {"n": 0}):
         with pytest.raises(ValueError):

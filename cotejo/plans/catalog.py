@@ -207,6 +207,25 @@ def stem_tokens(spark, sf_dir):
     return ST.stem_table(tokens)
 
 
+# The published sample of the stemming algorithm.
+STEM_SAMPLE = {
+    "cheque": "chequ", "chequeo": "cheque", "cheques": "chequ", "cheyene": "cheyen", "chi": "chi", "chiapaneca": "chiapanec", "chiapas": "chiap",
+    "chic": "chic", "chica": "chic", "chicago": "chicag", "chicana": "chican", "chicano": "chican", "chicas": "chic", "chicharrones": "chicharron",
+    "chichimecas": "chichimec", "chicles": "chicl", "chico": "chic", "torá": "tor", "tórax": "torax", "torcer": "torc", "toreado": "tor", "toreados":
+    "tor", "toreándolo": "tor", "torear": "tor", "toreara": "tor", "torearlo": "tor", "toreó": "tore", "torero": "torer", "toreros": "torer", "torio":
+    "tori", "tormenta": "torment", "tormentas": "torment", "tornado": "torn", "tornados": "torn", "tornar": "torn", "tornen": "torn", "torneo":
+    "torne", "torneos": "torne", "tornillo": "tornill", "tornillos": "tornill", "torniquete": "torniquet", "torno": "torn", "toro": "tor", "toronto":
+    "toront", "toros": "tor", "torpedearon": "torped", "torpeza": "torpez", "torrado": "torr", "torralba": "torralb", "torre": "torr", "torrencial":
+    "torrencial", "torrenciales": "torrencial", "torrente": "torrent", "torreon": "torreon", "torreón": "torreon", "torres": "torr", "torrescano":
+    "torrescan",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEM_SAMPLE.items()) + ") AS v(token, stem)")
+def stem_published(spark, sf_dir):
+    return ST.stem_table(spark.createDataFrame([(w,) for w in STEM_SAMPLE], "token string"))
+
+
 # -- retrieval ----------------------------------------------------------------------------
 
 _PAIRS = """
@@ -1131,7 +1150,22 @@ def candidate_phrases(spark, sf_dir):
     return TH.find_candidates(table(spark, sf_dir, "documents"), TH.forms_table(thesaurus(spark)).select("form"))
 
 
-@query()
+@query(
+    f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS toks FROM documents),
+n AS (SELECT doc_id, toks, list_transform(toks, lambda x: strip_accents(x)) AS w FROM t),
+r(root) AS (VALUES ('tional'), ('worthle')),
+d AS (SELECT root, count(*) FILTER (len(list_filter(w, lambda x: starts_with(x, root))) > 0) AS df, count(*) AS n FROM n, r GROUP BY root),
+k AS (SELECT root, ln((greatest(n, 1) + 1) / (df + 1)) AS rarity FROM d),
+g AS (SELECT doc_id, toks, w, z.z, unnest(range(0, len(w) - z.z + 1)) AS pos FROM n, (VALUES (1), (2), (3), (4)) AS z(z) WHERE len(w) >= z.z AND len(list_filter(w, lambda x: starts_with(x, 'tional') OR starts_with(x, 'worthle'))) > 0),
+p AS (SELECT doc_id, pos, w[pos + 1 : pos + z] AS w, array_to_string(w[pos + 1 : pos + z], ' ') AS phrase, array_to_string(toks[pos + 1 : pos + z], ' ') AS spelling FROM g),
+q AS (SELECT p.*, (SELECT sum(rarity) FROM k WHERE len(list_filter(p.w, lambda x: starts_with(x, root))) > 0) AS weight FROM p
+  WHERE NOT list_contains({STOP}, w[1]) AND NOT list_contains({STOP}, w[len(w)]) AND phrase <> 'tionally worthless' AND len(list_filter(w, lambda x: starts_with(x, 'tional') OR starts_with(x, 'worthle'))) > 0),
+f AS (SELECT doc_id, phrase, arg_min(spelling, pos) AS spelling, any_value(weight) AS weight FROM q GROUP BY 1, 2),
+s AS (SELECT phrase, spelling, count(*) AS n, any_value(weight) AS weight FROM f GROUP BY 1, 2),
+b AS (SELECT phrase, sum(n)::BIGINT AS fragmentos, first(spelling ORDER BY n DESC, spelling DESC) AS frase, any_value(weight) AS weight FROM s GROUP BY 1)
+SELECT frase, fragmentos FROM b ORDER BY weight DESC, fragmentos DESC, length(phrase), phrase LIMIT 3"""
+)
 def suggest_forms(spark, sf_dir):
     return TH.suggest_forms(table(spark, sf_dir, "documents"), "tionally worthless")
 

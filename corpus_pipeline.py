@@ -6,13 +6,11 @@ the last return the columns of docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm import decontamination, language, mixing, near_duplicates, sharding
-from cotejo.llm._common import shared_dir, table
+from cotejo.llm._common import remove, shared_path, table
 from cotejo.llm.queries import MIX_POWER, SHARDS
 
 
@@ -94,12 +92,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table `documents`."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    """All stages over the whole table `documents`; a stage's files go once the next one's are written.
+
+    Only the last but one stays, which the result reads.
+    """
+    docs, read = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"corpus-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm._common import ascii_lower, stored
+from cotejo.llm._common import ascii_lower, shared_path, stored
 
 WINDOW = 10
 #: Benchmark bytes that one broadcast pattern set holds; larger benchmarks go in blocks.
@@ -221,7 +221,7 @@ def find_benchmark(
     for k in range(blocks):
         sent = tables(k)
         one = texts.withColumn("c", _searcher(sent)(F.col("t"))).where(F.size("c.hits") > 0).select("__h", "__l", "c.hits", "c.items").dropDuplicates(["__h", "__l"])
-        one = stored(one, "benchmark-block")
+        one = stored(one, shared_path(spark, "benchmark-block"))
         sent.destroy()
         found = one if found is None else found.unionByName(one)
     found = found.groupBy("__h", "__l").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("__hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cotejo.llm._common import cut, partitions, stored
+from cotejo.llm._common import cut, partitions, remove, shared_path, stored
 from cotejo.llm._exchange import MIX, MIX2, mixed, pack, starts, unpack
 
 SHINGLE = 5
@@ -463,26 +463,30 @@ def near_duplicate_classes(
     fits = (F.least("nc", "nx") * 100 >= F.greatest("nc", "nx") * percent) & (F.col("apart") * (100 + percent) <= (F.col("nc") + F.col("nx")) * (100 - percent))
     pairs = cut(pairs.withColumn("apart", apart).where(fits).select("c", "x", "part"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """(set_id, text) of classes, read out of the documents by the rows that stand for them."""
+    def texts_of(ids: DataFrame, path: str) -> DataFrame:
+        """(set_id, text) of classes, read out of the documents by the rows that stand for them, stored at ``path``."""
         need = cut(classes.join(ids, "set_id", "left_semi").select("set_id", F.col("row.id").alias("rid"), F.col("row.crc").alias("rcrc")))
         need = F.broadcast(need) if need.count() <= MAX_BROADCAST_IDS else need
         own = rows.withColumn("crc", F.xxhash64("text"))
         found = own.join(need, own["id"].eqNullSafe(need["rid"]) & (own["crc"] == need["rcrc"])).select("set_id", "text")
-        return stored(found.dropDuplicates(["set_id"]), "near-duplicate-texts")
+        return stored(found.dropDuplicates(["set_id"]), path)
 
     compare = F.arrow_udf(_compare(shingle, percent), "boolean")
 
-    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (c, x, part); a text c goes to each part of its pairs, not to one task."""
+        path = shared_path(spark, "near-duplicate-texts")
+        texts = texts_of(pairs.select(F.explode(F.array("c", "x")).alias("set_id")).distinct(), path)
         heads = pairs.select("c", "part").distinct().join(texts.toDF("c", "tc"), "c")
         both = pairs.join(texts.toDF("x", "tx"), "x").join(heads, ["c", "part"])
-        return cut(both.where(compare("tc", "tx")).select(F.col("c").alias("a"), F.col("x").alias("b")))
+        links = cut(both.where(compare("tc", "tx")).select(F.col("c").alias("a"), F.col("x").alias("b")))
+        remove(spark, path)  # the links stand in a checkpoint of their own
+        return links
 
     links = spark.createDataFrame([], "a bigint, b bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     if pairs.take(1):
-        links = verified(pairs, texts_of(pairs.select(F.explode(F.array("c", "x")).alias("set_id")).distinct()))
+        links = verified(pairs)
         roots = connected(links)
 
     # groups whose members are not all in one class: compared block by block
@@ -509,7 +513,7 @@ def near_duplicate_classes(
         near = still_apart(nearest, members).join(pairs, ["c", "x"], "left_anti")
         near = cut(near.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")))
         if near.take(1):
-            links = links.unionByName(verified(near, texts_of(near.select(F.explode(F.array("c", "x")).alias("set_id")).distinct())))
+            links = links.unionByName(verified(near))
             roots = connected(links)
             pairs = pairs.unionByName(near)
 

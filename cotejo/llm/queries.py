@@ -203,6 +203,24 @@ n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op9_pfair": f"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n, sqrt(count(*)) AS p, row_number() OVER (ORDER BY source IS NOT NULL, source) AS i FROM documents GROUP BY source),
+e AS (SELECT *, greatest({mixing.PERIOD}, 10 * count(*) OVER ()) AS period, p / sum(p) OVER () * greatest({mixing.PERIOD}, 10 * count(*) OVER ()) AS exact FROM c),
+f AS (SELECT *, greatest(1, floor(exact)::BIGINT) AS least, row_number() OVER (ORDER BY floor(exact) - exact, coalesce(source, 'None')) AS turn FROM e),
+wt AS (SELECT source, n, i, period, least + CASE WHEN turn <= period - sum(least) OVER () THEN 1 ELSE 0 END AS w FROM f),
+l AS (SELECT list(w ORDER BY i) AS w, any_value(period) AS period, count(*) AS k FROM wt),
+s(t, done, chosen) AS (
+  SELECT -1::BIGINT, list_transform(w, lambda x: 0::BIGINT), NULL::BIGINT FROM l
+  UNION ALL SELECT t, list_transform(done, lambda x, i: CASE WHEN i = chosen THEN x + 1 ELSE x END), chosen FROM (
+    SELECT t + 1 AS t, done, list_min(list_transform(list_filter(range(1, k + 1), lambda i: done[i] < w[i] AND done[i] * period < (t + 2) * w[i]),
+      lambda i: ceil((done[i] + 1) * period / w[i])::BIGINT * 1000000 + i)) % 1000000 AS chosen FROM s, l WHERE t + 1 < period)),
+plan AS (SELECT chosen AS i, t AS slot, row_number() OVER (PARTITION BY chosen ORDER BY t) - 1 AS nth FROM s WHERE t >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents),
+b AS (SELECT d.doc_id, d.source, d.n, wt.i, wt.w, wt.period, d.n // {mixing.BLOCK_ROWS} AS block FROM d JOIN wt ON d.source IS NOT DISTINCT FROM wt.source),
+x AS (SELECT b.*, block // w * period AS base, plan.nth, plan.slot AS own FROM b JOIN plan ON plan.i = b.i AND plan.nth = block % w),
+z AS (SELECT min(blocks // w * period + plan.slot) AS stop FROM (SELECT *, ceil(n / {mixing.BLOCK_ROWS})::BIGINT AS blocks FROM wt) q JOIN plan ON plan.i = q.i AND plan.nth = blocks % w)
+SELECT doc_id, source, w::BIGINT AS weight, block, (base + floor(nth * period / w))::BIGINT AS release, (base + ceil((nth + 1) * period / w))::BIGINT AS deadline, (base + own)::BIGINT AS slot,
+  base + own < stop AS within_target, row_number() OVER (ORDER BY base + own, n) - 1 AS position FROM x, z""",
     "op8_reply_trees": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
   (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {", ".join(str(x) for x in PROBE)})))

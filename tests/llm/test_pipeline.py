@@ -85,6 +85,24 @@ def test_no_two_rows_left_are_links(spark, kept):
     assert not [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
 
 
+def test_contaminated_rows_against_brute_force(spark, kept):
+    from tests.llm.test_decontamination import brute
+
+    rows = lambda df: [(r[0], r[1]) for r in df.collect()]
+    items = rows(table(spark, SF, "benchmark").select("item_id", "text"))
+    near = rows(kept[1][2].select("doc_id", "text"))
+    assert {r.doc_id for r in kept[1][3].collect()} == {i for i, _, hit, _ in brute(near, items) if not hit}
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark):
+    from cotejo.llm._common import shared_dir
+
+    had = set(os.listdir(shared_dir(spark)))
+    P.run(spark, SF)
+    new = {f for f in set(os.listdir(shared_dir(spark))) - had if f.startswith(("corpus-", "near-", "benchmark-"))}
+    assert len(new) == 1 and new.pop().startswith("corpus-mixing")
+
+
 def test_odd_rows_pass_through_every_stage(spark, documents, tmp_path):
     prose = "the and of with in that was on by for as are to his from it an were " * 6
     rows = [(1, prose), (1, prose), (2, None), (None, prose + "end of it all for now"), (4, ""), (5, prose + "x " * 20_000, None, None)]

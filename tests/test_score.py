@@ -106,6 +106,50 @@ def test_premises_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, R.retrieve_topk(asked, norms, 4).collect())) == whole
 
 
+def test_a_scan_holds_one_tile(monkeypatch):
+    """A block of premises against one large batch: the memory follows the tile, the result is brute force's."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(R, "TILE", 64)
+    v = rng.integers(0, 3, (6000, 8)).astype(float)
+    v[:, 0] += 1
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = rng.permutation(6000)
+    own = ids[:1500]
+
+    class Sent:
+        value = (own, unit[:1500])
+
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(0, 48001, 8), pa.int32()), pa.array(v.ravel()))], ["id", "v"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(R._scan(Sent, 5, True)(iter([batch]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all similarities at once: 72 MB
+    sims = np.round(unit[:1500] @ unit.T, R.DIGITS)
+    sims[np.arange(1500), np.arange(1500)] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :5]
+    want = {(int(own[i]), int(ids[j]), float(sims[i, j])) for i in range(1500) for j in order[i]}
+    assert set(zip(out["premise_id"], out["norm_id"], out["cosine"], strict=True)) == want and len(out["cosine"]) == 7500
+
+
+def test_hashed_vectors_count_tokens(spark):
+    import zlib
+
+    import numpy as np
+
+    rows = [(0, ["a", "b", "a"]), (1, None), (2, []), (3, ["c"])]
+    d = spark.createDataFrame(rows, "id int, t array<string>").select("id", R.hashed_embedding(F.col("t"), 16).alias("v"))
+    got = {r["id"]: np.array(r["v"], "f4") for r in d.collect()}
+    for i, tokens in rows:
+        want = np.bincount([zlib.crc32(t.encode()) % 16 for t in tokens or []], minlength=16).astype("f4") if tokens else np.zeros(16, "f4")
+        assert np.array_equal(got[i], (want / max(float(np.linalg.norm(want)), 1e-9)).astype("f4"))
+
+
 def test_combined_puts_the_corpus_first_among_equals(spark):
     ev = "premise_id bigint, norm_id bigint, similitud double, posicion_rag int"
     base = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.5, 2)], ev)

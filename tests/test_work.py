@@ -6,6 +6,7 @@ from cotejo.operators import clean as CL
 from cotejo.operators import layout as LA
 from cotejo.operators import model as M
 from cotejo.operators import segment as SG
+from cotejo.operators import thesaurus as TH
 
 
 def counted(spark, column, kind):
@@ -54,3 +55,20 @@ def test_a_forest_grows_on_all_cores(spark, monkeypatch):
     monkeypatch.setattr(M, "Pipeline", Spy)
     d = spark.range(100).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("veredicto"), (F.col("id") / 100).alias("sb_max")).coalesce(1)
     assert M.train(d) >= spark.sparkContext.defaultParallelism
+
+
+def test_phrases_are_counted_by_sums_alone(spark, monkeypatch):
+    """No row a document and phrase is shuffled or sorted: a text's phrases are distinct already."""
+    plans, keep = [], TH.__dict__.get("kept")
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(TH, "kept", spy, raising=False)
+    rows = [(i, "Ámbar gris claro. " * 3) for i in range(15)] + [(3, "Ámbar gris claro"), (None, "ámbar gris claro")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(tuple(r) for r in TH.find_candidates(docs.where("doc_id <> 3"), spark.createDataFrame([("nada",)], "form string"), top=2).collect())
+    assert got == [("gris claro", 14, "ámbar gris claro ámbar gris claro ámbar"), ("ámbar gris", 14, "ámbar gris claro ámbar gris claro")]
+    assert len(plans) == 1 and "SortAggregate" not in plans[0] and "count(distinct" not in plans[0]
+    assert {r.fragmentos for r in TH.find_candidates(docs, spark.createDataFrame([("nada",)], "form string")).collect()} == {15}

@@ -72,3 +72,12 @@ def test_phrases_are_counted_by_sums_alone(spark, monkeypatch):
     assert got == [("gris claro", 14, "ámbar gris claro ámbar gris claro ámbar"), ("ámbar gris", 14, "ámbar gris claro ámbar gris claro")]
     assert len(plans) == 1 and "SortAggregate" not in plans[0] and "count(distinct" not in plans[0]
     assert {r.fragmentos for r in TH.find_candidates(docs, spark.createDataFrame([("nada",)], "form string")).collect()} == {15}
+
+
+def test_suggestions_read_few_texts_again(spark):
+    rows = [(i, "Sobre el derecho de huelga" if i % 2 else "nada que ver") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    text, seen = counted(spark, F.col("text"), "string")
+    got = [tuple(r) for r in TH.suggest_forms(d.withColumn("text", text), "Derechos de huelgas").collect()]
+    assert got[0] == ("derecho de huelga", 10)
+    assert seen.value <= 3 * len(rows)  # counted, sought, and told apart where met

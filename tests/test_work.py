@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cotejo.operators import clean as CL
+from cotejo.operators import corpora as CO
 from cotejo.operators import layout as LA
 from cotejo.operators import model as M
 from cotejo.operators import segment as SG
@@ -81,3 +82,20 @@ def test_suggestions_read_few_texts_again(spark):
     got = [tuple(r) for r in TH.suggest_forms(d.withColumn("text", text), "Derechos de huelgas").collect()]
     assert got[0] == ("derecho de huelga", 10)
     assert seen.value <= 3 * len(rows)  # counted, sought, and told apart where met
+
+
+def test_numbered_documents_stay_in_their_rows(spark):
+    """One grouping of the lines, and none where documents come whole: no windows, joins or sorts of lines."""
+    rows = [(d, "T", i, t) for d in (1, 2) for i, t in enumerate(["Mons. Crepaldi", "1 Uno dice.", "A P É N D I C E", "2. Dos dice:", "sigue."])]
+    lines = spark.createDataFrame(rows, "doc_id int, titulo string, line_no int, line string")
+    for df in (CO.compendium_blocks(lines), CO.council_blocks(lines, "Constituciones")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    docs = spark.createDataFrame([(1, "T", [r[3] for r in rows[:5]]), (2, "T", []), (3, "T", None)], "doc_id int, titulo string, lines array<string>")
+    for df in (CO.compendium_documents(docs), CO.council_documents(docs, "Constituciones")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    assert [(r.numeral_id, r.texto) for r in CO.compendium_documents(docs).collect()] == [(1, "Uno dice. 2. Dos dice: sigue.")]
+    got = [(r.block, r.numeral_id, r.contexto_jerarquico, r.texto) for r in CO.council_documents(docs, "Constituciones").collect()]
+    base = "Concilio Vaticano II > Constituciones > T"
+    assert got == [(1, 1, base, "Uno dice."), (3, 2, f"{base} > APÉNDICE", "Dos dice: sigue.")]

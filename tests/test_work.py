@@ -99,3 +99,16 @@ def test_numbered_documents_stay_in_their_rows(spark):
     got = [(r.block, r.numeral_id, r.contexto_jerarquico, r.texto) for r in CO.council_documents(docs, "Constituciones").collect()]
     base = "Concilio Vaticano II > Constituciones > T"
     assert got == [(1, 1, base, "Uno dice."), (3, 2, f"{base} > APÉNDICE", "Dos dice: sigue.")]
+
+
+def test_pages_and_documents_become_lines_once(spark):
+    rows = [("d", p, f"uno de matri-\nmonio {p}") for p in range(1, 4)] + [("e", 1, ""), ("f", 1, None), ("f", 2, "dos")]
+    d = spark.createDataFrame(rows, "doc_id string, page int, text string")
+    text, seen = counted(spark, F.col("text"), "string")
+    docs = CL.whole_documents(CL.page_lines(d.withColumn("text", text)))
+    assert {r.doc_id: len(r.lines) for r in docs.collect()} == {"d": 6, "f": 1}
+    assert seen.value == len(rows)
+    whole = spark.createDataFrame([("a", [(1, "x"), (1, "y")]), ("b", []), ("c", None)], "doc_id string, lines array<struct<page:int,line:string>>")
+    own, seen = counted(spark, F.col("lines"), "array<struct<page:int,line:string>>")
+    assert [tuple(r) for r in CL.as_lines(whole.withColumn("lines", own)).collect()] == [("a", 1, 0, "x"), ("a", 1, 1, "y")]
+    assert seen.value == 3
